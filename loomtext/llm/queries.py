@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join
+from . import langid, ngram_join, suffix_dedup
 from .common import table
 
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": ngram_join.ORACLE}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": ngram_join.ORACLE, "op9_suffix_array_dedup": suffix_dedup.ORACLE}
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,4 +20,8 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_language_id, op4_ngram_jaccard_join)}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_language_id, op4_ngram_jaccard_join, op9_suffix_array_dedup)}
