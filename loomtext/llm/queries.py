@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join, suffix_dedup
+from . import decontaminate, langid, ngram_join, suffix_dedup
 from .common import table
 
 ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": ngram_join.ORACLE, "op9_suffix_array_dedup": suffix_dedup.ORACLE}
@@ -24,4 +24,8 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_language_id, op4_ngram_jaccard_join, op9_suffix_array_dedup)}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_language_id, op4_ngram_jaccard_join, op9_suffix_array_dedup, op6_decontaminate)}
