@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, ngram_join, suffix_dedup
+from . import decontaminate, fingerprints, langid, licenses, mixing, ngram_join, suffix_dedup
 from .common import table
 
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": ngram_join.ORACLE, "op9_suffix_array_dedup": suffix_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op3_license_scan": licenses.ORACLE, "op5_fingerprints": fingerprints.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op9_suffix_array_dedup": suffix_dedup.ORACLE}
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +28,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_language_id, op4_ngram_jaccard_join, op9_suffix_array_dedup, op6_decontaminate)}
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_language_id, op4_ngram_jaccard_join, op9_suffix_array_dedup, op6_decontaminate, op2_mix_sources, op3_license_scan, op5_fingerprints)}
