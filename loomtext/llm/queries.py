@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, langid, licenses, mixing, ngram_join, pst, quality, suffix_dedup
+from . import decontaminate, fingerprints, langid, licenses, mixing, ngram_join, pst, quality, suffix_dedup, toxicity
 from .common import table
 
 ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op3_license_scan": licenses.ORACLE, "op5_fingerprints": fingerprints.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op9_suffix_array_dedup": suffix_dedup.ORACLE}
@@ -48,4 +48,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_language_id, op4_ngram_jaccard_join, op9_suffix_array_dedup, op6_decontaminate, op2_mix_sources, op3_license_scan, op5_fingerprints, op8_pst_score, op10_quality)}
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_language_id, op4_ngram_jaccard_join, op9_suffix_array_dedup, op6_decontaminate, op2_mix_sources, op3_license_scan, op5_fingerprints, op8_pst_score, op10_quality, op1_toxicity)}
