@@ -34,7 +34,7 @@ SAMPLE_DOCS = 1500
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION, WORD_DIM, CHAR_DIM = 8, 8, 4, 6
 WORD_ROWS, CHAR_ROWS, ODDS_ROWS = 4096, 2048, 1 << 16
-ROUNDS, EPOCHS, BATCH, RATE, OTHERS = 2, 6, 256, 0.01, 3
+ROUNDS, EPOCHS, STEPS, BATCH, RATE, OTHERS = 2, 6, 150, 256, 0.01, 3
 SCHEMA = "doc_id bigint, n_windows bigint, toxicity double, at_word int, toxic boolean"
 
 
@@ -229,7 +229,7 @@ class Model:
             clean = np.flatnonzero(y[row] == 0)
             more = rng.choice(clean, min(len(clean), OTHERS * len(worst)), replace=False) if len(clean) else clean
             chosen = np.unique(np.concatenate([worst, more]))
-            for _ in range(EPOCHS):
+            for _ in range(max(EPOCHS, -(-STEPS // max(1, len(chosen) // BATCH)))):
                 for own in np.array_split(rng.permutation(chosen), max(1, len(chosen) // BATCH)):
                     at, inverse = np.unique(index[own], return_inverse=True)
                     inverse = inverse.reshape(index[own].shape)
