@@ -12,9 +12,11 @@ exactly, in these steps:
 3. A partner misses at most ``d`` of them. Small (light) sets enumerate all pairs of the
    first ``d + 2`` grams: partners must have such a subset in common. Large (heavy) sets
    scan the inverted lists of their first ``d + 1`` grams, in which light sets of a
-   compatible size are listed too. The boundary is the size at which the summed cost of
-   subsets and list entries, from the sets' own figures, is least.
-4. Candidates are verified by intersecting their shared grams.
+   compatible size are listed too. An entry also names the four grams before it: two sets
+   that have one of them in common met in its list already. The boundary is the size at
+   which the summed cost of subsets, entries and pairs, from the sets' own figures, is least.
+4. Candidates are routed to cells of a grid of fingerprints, each needed set once to a cell,
+   and verified there by intersecting their shared grams.
 
 Nothing is capped, and no text is shuffled: what moves is 4 to 6 bytes a gram.
 
@@ -39,6 +41,7 @@ from .kernel import U64, grams, lowered, mix, slices, words
 GRAM, THRESHOLD = 3, 0.45
 #: Removed ids up to this many are broadcast to the documents; beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
+PASSED = 0.05
 _LOW32 = U64(0xFFFFFFFF)
 
 
@@ -95,12 +98,12 @@ def _pack(**arrays: np.ndarray) -> dict:
 
 def _routed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     """Packed grams by bucket: of each set its fingerprint, size and count, and the low 32 bits of its grams."""
-    kinds = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("fp", "size", "count", "gram"))])
+    kinds = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("fp", "home", "size", "count", "gram"))])
 
     def run(batches):
         for batch in batches:
             text = large(batch, "text")
-            for a, b in slices(text, 16 << 20):
+            for a, b in slices(text):
                 g, size, fp = gram_sets(text.slice(a, b - a), n)
                 fp, one = np.unique(fp, return_index=True)  # copies within this slice
                 mine = np.zeros(len(size), bool)
@@ -115,15 +118,18 @@ def _routed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                 g, set_of, bucket = g[order], set_of[order], bucket[order]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 out = []
+                home = (fp % U64(buckets)).astype(np.int64)  # only that bucket is told the size
                 for k in range(buckets):
                     own = set_of[cut[k] : cut[k + 1]]
-                    if len(own):
+                    tell = np.flatnonzero(home == k)
+                    if len(own) or len(tell):
                         who, count = np.unique(own, return_counts=True)
-                        out.append({"bucket": k} | _pack(fp=fp[who], size=sizes[who], count=count.astype(np.uint16 if count.max() < 65536 else np.uint32), gram=(g[cut[k] : cut[k + 1]] & _LOW32).astype(np.uint32)))
+                        kind = next(t for t in (np.uint8, np.uint16, np.uint32) if count.max(initial=0) <= np.iinfo(t).max)
+                        out.append({"bucket": k} | _pack(fp=fp[who], home=fp[tell], size=sizes[tell], count=count.astype(kind), gram=(g[cut[k] : cut[k + 1]] & _LOW32).astype(np.uint32)))
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "bucket int, fp binary, size binary, count binary, gram binary")
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "bucket int, fp binary, home binary, size binary, count binary, gram binary")
 
 
 def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -134,17 +140,20 @@ def _counts(table: pa.Table) -> np.ndarray:
     parts = []
     for c, f in zip(table.column("count"), table.column("fp")):
         c = c.as_py()
-        parts.append(np.frombuffer(c, np.uint16 if len(c) * 4 == len(f.as_py()) else np.uint32).astype(np.int64))
+        width = len(c) * 8 // max(1, len(f.as_py()))
+        parts.append(np.frombuffer(c, {1: np.uint8, 2: np.uint16, 4: np.uint32}.get(width, np.uint8)).astype(np.int64))
     return np.concatenate(parts or [np.zeros(0, np.int64)])
 
 
 def _shared(routed: DataFrame, buckets: int) -> DataFrame:
     """Of each bucket the grams in two sets or more, routed on to the sets' own partitions."""
-    kinds = pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("fp", "size", "count", "gram", "df"))])
+    kinds = pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("fp", "home", "size", "count", "gram", "df"))])
 
     def run(key, table):
         bucket = key[0].as_py()
-        fp, size, count, g = _joined(table, "fp", np.uint64), _joined(table, "size", np.int32), _counts(table), _joined(table, "gram", np.uint32)
+        fp, count, g = _joined(table, "fp", np.uint64), _counts(table), _joined(table, "gram", np.uint32)
+        home, one = np.unique(_joined(table, "home", np.uint64), return_index=True)
+        size = _joined(table, "size", np.int32)[one]
         _, one = np.unique(fp, return_index=True)  # copies among the slices
         mine = np.zeros(len(fp), bool)
         mine[one] = True
@@ -166,13 +175,14 @@ def _shared(routed: DataFrame, buckets: int) -> DataFrame:
         out = []
         for k in range(buckets):
             a, b = cut[k], cut[k + 1]
-            if a < b:
-                edge = np.flatnonzero(np.concatenate([[True], which[a + 1 : b] != which[a : b - 1]]))
+            told = slice(0, len(home) if k == bucket else 0)  # a set's home bucket is its part
+            if a < b or told.stop:
+                edge = np.flatnonzero(np.concatenate([[True], which[a + 1 : b] != which[a : b - 1]])) if a < b else np.zeros(0, np.int64)
                 who = which[a:b][edge]
-                out.append({"part": k} | _pack(fp=fp[who], size=size[who], count=np.diff(np.append(edge, b - a)).astype(np.uint32), gram=ids[a:b], df=np.minimum(df[a:b], 65535).astype(np.uint16)))
+                out.append({"part": k} | _pack(fp=fp[who], home=home[told], size=size[told], count=np.diff(np.append(edge, b - a)).astype(np.uint32), gram=ids[a:b], df=np.minimum(df[a:b], 65535).astype(np.uint16)))
         return pa.Table.from_pylist(out, schema=kinds)
 
-    return routed.groupBy("bucket").applyInArrow(run, "part int, fp binary, size binary, count binary, gram binary, df binary")
+    return routed.groupBy("bucket").applyInArrow(run, "part int, fp binary, home binary, size binary, count binary, gram binary, df binary")
 
 
 def _survivors(shared: DataFrame, per_mille: int) -> DataFrame:
@@ -180,14 +190,17 @@ def _survivors(shared: DataFrame, per_mille: int) -> DataFrame:
     kinds = pa.schema([("fp", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("cost", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(key, table):
-        fp, size, g = _joined(table, "fp", np.uint64), _joined(table, "size", np.int32), _joined(table, "gram", np.uint64)
+        fp, g = _joined(table, "fp", np.uint64), _joined(table, "gram", np.uint64)
+        home, told = _joined(table, "home", np.uint64), _joined(table, "size", np.int32)
         df = _joined(table, "df", np.uint16)
         count = _joined(table, "count", np.uint32).astype(np.int64)
         which = np.repeat(np.arange(len(fp)), count)
         names, code = np.unique(fp, return_inverse=True)
         total = np.bincount(code, count, len(names)).astype(np.int64)
         sizes = np.zeros(len(names), np.int64)
-        sizes[code] = size
+        at = np.minimum(np.searchsorted(names, home), max(len(names) - 1, 0))
+        hit = names[at] == home if len(names) else np.zeros(len(home), bool)
+        sizes[at[hit]] = told[hit]
         least = -(-per_mille * sizes // 1000)
         on = (total >= least)[code[which]]
         owner, g, df = code[which][on], g[on], df[on]
@@ -204,8 +217,11 @@ def _survivors(shared: DataFrame, per_mille: int) -> DataFrame:
 
 
 def boundary(sets: DataFrame) -> int:
-    """The largest light size: where subsets enumerated up to it and list entries scanned beyond it cost least."""
-    rows = sets.groupBy("size").agg(F.sum((F.col("prefix").cast("bigint") + 1) * F.col("prefix") / 2).alias("light"), F.sum(F.col("cost") + F.col("prefix")).alias("heavy")).orderBy("size").collect()
+    """The largest light size: where subsets enumerated up to it and lists scanned beyond it cost least.
+
+    A row to shuffle counts as 1, a pair met in a list and passed over as ``PASSED``.
+    """
+    rows = sets.groupBy("size").agg(F.sum((F.col("prefix").cast("bigint") + 1) * F.col("prefix") / 2).alias("light"), F.sum(F.col("cost") * PASSED + F.col("prefix")).alias("heavy")).orderBy("size").collect()
     best, at, cost = sum(r.heavy for r in rows), 0, sum(r.heavy for r in rows)
     for r in rows:
         cost += r.light - r.heavy
@@ -215,62 +231,92 @@ def boundary(sets: DataFrame) -> int:
 
 
 def _keys(sets: DataFrame, light: int, per_mille: int) -> DataFrame:
-    """Join keys of each set: L subsets of light sets, H lists that heavy sets scan, S lists that hold light sets."""
-    kinds = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("heavy", pa.bool_())])
+    """Join keys of each set: kind 1 for subsets of light sets, 0 for the lists that heavy sets scan and light ones stand in.
+
+    ``meta`` is twice the size, plus 1 where the row looks for partners: all but those of light sets in lists.
+    """
+    kinds = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("meta", pa.int32()), *((c, pa.int64()) for c in "pqrs")])
     tiny = 1000 // per_mille  # sets that large or less may share a single gram with a partner, too few for a subset
 
     def run(batches):
         ij: dict[int, tuple] = {}
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[] for _ in kinds]
 
             def add(kind, keys, fp, size, heavy):
-                for x, v in zip(out, (np.full(len(keys), kind, np.int8), keys, np.full(len(keys), fp), np.full(len(keys), size, np.int32), np.full(len(keys), heavy))):
+                n = len(keys)
+                # where there is no gram before, the set's own name, which no other has
+                before = [np.concatenate([np.full(min(d, n), fp), keys[: max(n - d, 0)]]) if kind == 0 else np.full(n, fp) for d in (1, 2, 3, 4)]
+                for x, v in zip(out, (mix(keys.view(np.uint64) + U64(kind)).view(np.int64), np.full(n, fp), np.full(n, size * 2 + (heavy or kind), np.int32), *before)):
                     x.append(v)
 
-            for fp, size, p, g in zip(*(batch.column(k).to_pylist() for k in ("fp", "size", "prefix")), batch.column("grams")):
+            for fp, size, m, g in zip(*(batch.column(k).to_pylist() for k in ("fp", "size", "prefix")), batch.column("grams")):
                 g = g.values.to_numpy()
                 small = size <= tiny
                 if size <= light and not small:
-                    m = min(p + 1, len(g))
-                    i, j = ij.setdefault(m, np.triu_indices(m, 1))
+                    w = min(m + 1, len(g))
+                    i, j = ij.setdefault(w, np.triu_indices(w, 1))
                     x = np.sort(np.stack([g[i], g[j]]).view(np.uint64), 0)
                     add(1, mix(x[0] * U64(0x9E3779B97F4A7C15) + mix(x[1])).view(np.int64), fp, size, False)
                     if 1000 * size >= per_mille * (light + 1) or per_mille * size <= 1000 * tiny:
-                        add(0, g[:p], fp, size, False)
+                        add(0, g[:m], fp, size, False)
                 else:
-                    add(0, g[:p], fp, size, True)
+                    add(0, g[:m], fp, size, True)
             if out[0]:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], schema=kinds)
 
-    return sets.select("fp", "size", "prefix", "grams").mapInArrow(run, "kind tinyint, key bigint, fp bigint, size int, heavy boolean")
+    return sets.select("fp", "size", "prefix", "grams").mapInArrow(run, "key bigint, fp bigint, meta int, p bigint, q bigint, r bigint, s bigint")
+
+
+def _verified(found: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
+    """fp_a, fp_b and jaccard of the candidates that reach the threshold."""
+    grid = max(2, math.isqrt(partitions(found.sparkSession) - 1) + 1)
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(grid)).cast("int")
+    pairs = found.withColumn("cell", side("fp_a") * grid + side("fp_b"))
+    need = pairs.select(F.col("cell").alias("at"), F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct().join(sets.select("fp", "size", "grams"), "fp")
+
+    def run(key, pairs, need):
+        fp, size = need.column("fp").to_numpy(), need.column("size").to_numpy()
+        grams = need.column("grams").combine_chunks()
+        grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+        code = np.unique(grams.flatten().to_numpy(), return_inverse=True)[1]
+        length = np.diff(grams.offsets.to_numpy())
+        begin = np.cumsum(length) - length
+        order = np.argsort(fp)
+        place = lambda c: order[np.searchsorted(fp[order], pairs.column(c).to_numpy())]
+        a, b = place("fp_a"), place("fp_b")
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else a
+        mark, overlap = np.zeros(int(code.max(initial=-1)) + 1, bool), np.zeros(len(a), np.int64)
+        for i, j in zip(edge, np.append(edge[1:], len(a))):
+            own = code[begin[a[i]] : begin[a[i]] + length[a[i]]]
+            mark[own] = True
+            for lo in range(i, j, 2000):
+                other = b[lo : min(j, lo + 2000)]
+                n = length[other]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[other], n)
+                overlap[lo : lo + len(other)] = np.add.reduceat(mark[code[at]].astype(np.int64), np.cumsum(n) - n)
+            mark[own] = False
+        union = size[a].astype(np.int64) + size[b] - overlap
+        keep = overlap * 1000 >= union * per_mille
+        a, b = a[keep], b[keep]
+        return pa.table({"fp_a": pa.array(fp[a], pa.int64()), "fp_b": pa.array(fp[b], pa.int64()), "jaccard": pa.array(np.round(overlap[keep] / union[keep], 6), pa.float64())})
+
+    return pairs.select("cell", "fp_a", "fp_b").groupBy("cell").cogroup(need.groupBy("at")).applyInArrow(run, "fp_a bigint, fp_b bigint, jaccard double")
 
 
 def similar_sets(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """fp_a < fp_b and overlap of all pairs of different sets that reach the threshold."""
+    """fp_a, fp_b and jaccard of all pairs of different sets that reach the threshold."""
     per_mille = math.ceil(threshold * 1000 - 1e-9)
     buckets = max(4, partitions(docs.sparkSession))
     sets = durable(_survivors(_shared(_routed(docs, n, buckets), buckets), per_mille))
     keys = _keys(sets, boundary(sets), per_mille)
-    a = keys.select("kind", "key", *(F.col(c).alias(f"{c}_a") for c in ("fp", "size", "heavy")))
-    b = keys.select("kind", "key", *(F.col(c).alias(f"{c}_b") for c in ("fp", "size", "heavy")))
-    found = (
-        a.join(b, ["kind", "key"])
-        .where("fp_a < fp_b and (kind = 1 or heavy_a or heavy_b)")
-        .where(F.least("size_a", "size_b") * F.lit(1000) >= F.greatest("size_a", "size_b") * F.lit(per_mille))
-        .select("fp_a", "fp_b", "size_a", "size_b")
-        .distinct()
-    )
-    left = sets.select(F.col("fp").alias("fp_a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("fp").alias("fp_b"), F.col("grams").alias("grams_b"))
-    union = F.col("size_a") + F.col("size_b") - F.col("overlap")
-    return (
-        found.join(left, "fp_a")
-        .join(right, "fp_b")
-        .select("fp_a", "fp_b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap"))
-        .where(F.col("overlap") * 1000 >= union * per_mille)
-        .select("fp_a", "fp_b", F.round(F.col("overlap") / union, 6).alias("jaccard"))
-    )
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "meta", "p", "q", "r", "s"))) for side in "ab")
+    met = " or ".join(f"{x}_a = {y}_b" for x in "pqrs" for y in "pqrs")
+    small, big = F.floor(F.least("meta_a", "meta_b") / 2), F.floor(F.greatest("meta_a", "meta_b") / 2)
+    found = a.join(b, "key").where(f"fp_a < fp_b and (meta_a % 2 = 1 or meta_b % 2 = 1) and not ({met})").where(small * 1000 >= big * per_mille).select("fp_a", "fp_b").distinct()
+    return _verified(durable(found), sets, per_mille)
 
 
 def similar_documents(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
