@@ -84,12 +84,22 @@ def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return base[row] + (np.arange(first[-1]) - first[row]) // BLOCK, np.repeat(np.arange(len(size)), count)
 
 
-def _sums(values: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the values of each block; ``block`` ascends."""
-    out = np.zeros((n, *values.shape[1:]), np.float32)
+def _sums(table: np.ndarray, term: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """Of each block the sum of its terms' rows of the table; ``block`` ascends.
+
+    All blocks' first terms are added at once, then all their second ones, and so on: a
+    block has few, and ``reduceat`` is slow at short runs.
+    """
+    out = np.zeros((n, *table.shape[1:]), np.float32)
     if len(block):
         edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        out[block[edge]] = np.add.reduceat(values, edge, 0)
+        size = np.diff(np.append(edge, len(block)))
+        k = 0
+        while len(edge):
+            out[block[edge]] += table[term[edge + k]]
+            k += 1
+            keep = size > k
+            edge, size = edge[keep], size[keep]
     return out
 
 
@@ -164,8 +174,8 @@ def singular_vectors(docs: DataFrame, items: Items, rank: int = RANK, seed: int
                 continue
             block, row = _blocks(first)
             block = block[at]
-            norm = _windows(_sums(it.idf[term] ** 2, block, len(row)), row)
-            s = _windows(_sums(weighted[term], block, len(row)), row) / np.maximum(norm, 1e-6)[:, None]
+            norm = _windows(_sums(it.idf**2, term, block, len(row)), row)
+            s = _windows(_sums(weighted, term, block, len(row)), row) / np.maximum(norm, 1e-6)[:, None]
             back = s.copy()  # of each block, what the two passages that hold it give
             same = row[1:] == row[:-1]
             back[1:][same] += s[:-1][same]
@@ -232,7 +242,7 @@ class Checker:
         if not len(at):
             return found
         block, row = _blocks(first)
-        latent = _windows(_sums(self.basis[term], block[at], len(row)), row)
+        latent = _windows(_sums(self.basis, term, block[at], len(row)), row)
         live = np.flatnonzero(np.abs(latent).max(1) > 0)
         latent = latent[live]
         least = COSINE * np.linalg.norm(latent, axis=1)
