@@ -271,7 +271,7 @@ def drop_repeats(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFr
         name += "_"
     cuts = durable(repeated_spans(docs, least, k).where("drop").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(name)))
     joined = docs.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_DOCS else cuts, "doc_id", "left").select(*docs.columns, name)
-    schema = docs.schema
+    schema, names = docs.schema, docs.columns
 
     def run(batches):
         for batch in batches:
@@ -302,7 +302,7 @@ def drop_repeats(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFr
                     c = pa.array([len(t) if own and t is not None else n for t, own, n in zip(text, spans, c.to_pylist())], f.type)
                 if f.name != name:
                     columns.append(c)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     return joined.mapInArrow(run, schema)
 
