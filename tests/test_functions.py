@@ -71,7 +71,7 @@ def test_hashes(spark):
     assert one(spark, H.fuzzy_similarity("c0", "c1"), "abcd", "abce") == 0.75
     assert one(spark, H.simhash(T.shingles("c0")), "a") == 0
     assert one(spark, H.minhash(T.shingles("c0"), 4), "a") == [0, 0, 0, 0]
-    assert one(spark, H.minhash(T.shingles("c0"), 8), "a b c d e") == list(spark.createDataFrame([("a b c d e",)], "c0 string").select(T.shingles("c0").alias("s")).select(H.minhash_udf(8)("s")).first()[0])
+    assert one(spark, H.minhash(T.shingles("c0"), 8), "a b c d e") == list(spark.createDataFrame([(["a b c", "b c d", "c d e"],)], "s array<string>").select(H.minhash_udf(8)("s")).first()[0])
     assert one(spark, H.fnv1a("c0"), "") == 0xCBF29CE484222325 - (1 << 64)
     with pytest.raises(ValueError):
         H.similarity_hash("x", "other")
