@@ -106,7 +106,8 @@ def automaton(seq: list[int]) -> list[dict[int, int]]:
 def table_of(automata: list[list[dict[int, int]]], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(table, roots): entry ``state * size + symbol`` holds ``target * size * 2 + flag``.
 
-    The flag says that the symbol began a new phrase. Frequent states come first.
+    The flag says that the symbol began a new phrase. Frequent states come first; the last
+    one follows a symbol that the language doesn't have, a phrase by itself.
     """
     rows, roots, base = [], [], 0
     for nxt in automata:
@@ -118,17 +119,17 @@ def table_of(automata: list[list[dict[int, int]]], size: int) -> tuple[np.ndarra
                     order.append(t)
         new = np.empty(len(nxt), np.int64)
         new[order] = np.arange(len(order))
-        root = np.full(size, base * size * 2 + 1, np.int64)
+        root = np.full(size, (base + len(order)) * size * 2 + 1, np.int64)
         for c, t in nxt[0].items():
             root[c] = (base + new[t]) * size * 2 + 1
-        block = np.tile(root, (len(order), 1))
+        block = np.tile(root, (len(order) + 1, 1))
         for s in order:
             for c, t in nxt[s].items():
                 block[new[s], c] = (base + new[t]) * size * 2
         block[0] = root & ~1  # the very first symbol continues the first phrase, counted beforehand
         rows.append(block)
         roots.append(base * size)
-        base += len(order)
+        base += len(order) + 1
     return np.concatenate(rows).ravel().astype(np.int32), np.array(roots, np.int32)
 
 
