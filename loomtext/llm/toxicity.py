@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, sample_ids
+from .common import large, sample_ids, trimmed
 from .kernel import U64, buffers, lowered, mix, rows_of, slices, words
 
 #: Bound of the labelled sample: documents of each label.
@@ -72,7 +72,9 @@ class Slice:
         start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
         at = start[:, None] + np.arange(WINDOW)
         inside = at < size[row][:, None]
-        return np.where(inside, self.word[np.minimum(self.first[row][:, None] + at, max(len(self.word) - 1, 0))] if len(self.word) else -1, -1), row, start
+        if not len(self.word):
+            return np.full(at.shape, -1, np.int32), row, start
+        return np.where(inside, self.word[np.minimum(self.first[row][:, None] + at, len(self.word) - 1)], -1).astype(np.int32), row, start
 
 
 def _odds(positive: np.ndarray, negative: np.ndarray, n: tuple[int, int]) -> np.ndarray:
@@ -176,15 +178,26 @@ class Model:
         n = (int((y == 0).sum()), int((y == 1).sum()))
         row = rows_of(sl.first)
 
-        def frequency(code: np.ndarray, rows: np.ndarray, classes: int) -> np.ndarray:
-            pair = np.unique(rows * classes + code)
-            label = y[pair // classes]
-            return _odds(*(np.bincount((pair % classes)[label == k], minlength=classes).astype(float) for k in (1, 0)), n).astype(np.float32)
-
-        self.known, self.odds = sl.hash, frequency(sl.word, row, len(sl.hash))
-        size = np.diff(sl.quad_first)[sl.word]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - sl.quad_first[sl.word], size)
-        self.quads = frequency(sl.quad[at], np.repeat(row, size), ODDS_ROWS)
+        def frequency(pieces_of, classes: int) -> np.ndarray:
+            """Log-odds of the classes, from some documents at a time."""
+            seen = np.zeros((2, classes))
+            for lo in range(0, len(y), 100):
+                hi = min(len(y), lo + 100)
+                a, b = sl.first[lo], sl.first[hi]
+                pair = np.unique(row[a:b] * len(sl.hash) + sl.word[a:b])
+                rows, code = pieces_of(pair // len(sl.hash), pair % len(sl.hash))
+                pair = np.unique(rows * classes + code)
+                for k in (0, 1):
+                    seen[k] += np.bincount((pair % classes)[y[pair // classes] == k], minlength=classes)
+            return _odds(seen[1], seen[0], n).astype(np.float32)
+
+        def quads(rows: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = np.diff(sl.quad_first)[word]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - sl.quad_first[word], size)
+            return np.repeat(rows, size), sl.quad[at]
+
+        self.known, self.odds = sl.hash, frequency(lambda rows, word: (rows, word), len(sl.hash))
+        self.quads = frequency(quads, ODDS_ROWS)
         self.net = Network(3 + WORD_DIM + CHAR_DIM, seed)
         self._train(sl, y, np.random.default_rng(seed))
 
@@ -217,7 +230,7 @@ class Model:
         index, row, _ = sl.windows()
         fixed = self.fixed(sl)
         pad = np.concatenate([fixed, np.zeros((1, fixed.shape[1]), np.float32)])
-        look = np.maximum(pad[index][:, :, 0], 0).sum(1) + np.maximum(pad[index][:, :, 1], 0).max(1)
+        look = np.concatenate([np.maximum(pad[i, 0], 0).sum(1) + np.maximum(pad[i, 1], 0).max(1) for i in np.array_split(index, -(-len(index) // 4096))])
         p = self.net.p
         m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
         share = np.diff(sl.tri_first)
@@ -298,4 +311,4 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
                 with np.errstate(invalid="ignore"):
                     yield pa.record_batch([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64(), mask=np.isnan(s)), pa.array(at, pa.int32()), pa.array(s >= 0.5)], names=["doc_id", "n_windows", "toxicity", "at_word", "toxic"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
