@@ -20,7 +20,7 @@ EXTENSIONS = {
 COMPRESSED = "\\.(gz|bz2|br|lz4|zst)$"
 HEADERS = tuple(f"{h}:" for h in "content-type date delivered-to from message-id received return-path subject to x-original-to".split())
 TAGS = ("<!doctype html", "<a href", "<body", "<div", "<head", "<html", "<p>")
-MARKS = ("#" + " ", "## ", "### ", "**", "__", "`", "[", "](", "* ", "- ", "1. ")
+MARKS = ("](", "[", "`", "1. ", "- ", "* ", "__", "**", *("#" * n + " " for n in (1, 2, 3)))
 SNIFFED = 8192
 
 
