@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -9,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BATCH, _BATCH_KEY = "8388608b", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +52,44 @@ def sample_ids(labelled: DataFrame, key: str, label: str, per_label: int) -> lis
     return sorted({r[0] for r in rows})
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside the others of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """A function of batches that releases memory at its end.
+
+    Texts are long, so where the session has Arrow's usual 64 MB a batch, it gets ``BATCH``:
+    each task holds a batch twice, in the executor and in its worker.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get(_BATCH_KEY) in ("67108864b", "67108864", "64m"):
+        spark.conf.set(_BATCH_KEY, BATCH)
+
+    def each(batches):
+        yield from run(batches)
+        release()
+
+    return each
+
+
+def trimmed_group(run):
+    """The same for a function of a group."""
+
+    def each(key, table):
+        out = run(key, table)
+        release()
+        return out
+
+    return each
+
+
 def large(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column of a batch; one that is all null may come without a string type."""
     return batch.column(name).cast(pa.large_string())

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import large
+from .common import large, trimmed
 from .kernel import U64, lowered, rows_of, slices, words
 
 BLOCK, RANK, OVERSAMPLE = 16, 128, 8
@@ -111,7 +111,7 @@ def _windows(x: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batches(batches, most: int = 4 << 20):
+def _batches(batches, most: int = 2 << 20):
     for batch in batches:
         text = large(batch, "text")
         for a, b in slices(text, most):
@@ -153,7 +153,7 @@ def document_frequency(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
             total[-1] += b - a
         yield _packed(total)
 
-    total = _reduced(docs.select("text").mapInArrow(run, "block int, data binary"), (len(items.vocabulary) + 1,))
+    total = _reduced(docs.select("text").mapInArrow(trimmed(run), "block int, data binary"), (len(items.vocabulary) + 1,))
     return total[:-1], int(total[-1])
 
 
@@ -185,7 +185,7 @@ def singular_vectors(docs: DataFrame, items: Items, rank: int = RANK, seed: int
             total[t[edge]] += np.add.reduceat(back[block[order]], edge, 0) * it.idf[t[edge], None]
         yield _packed(total)
 
-    y = _reduced(docs.select("text").mapInArrow(run, "block int, data binary"), (n, width))
+    y = _reduced(docs.select("text").mapInArrow(trimmed(run), "block int, data binary"), (n, width))
     # Nystroem: X'X is about y (omega' y)^-1 y', so its eigenvectors are the left singular vectors of y c^-1/2
     shift = 1e-7 * max(np.linalg.norm(y), 1e-30)
     y = y + shift * omega
@@ -291,7 +291,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(ids[r], sent.value.items.ids[k], *v) for (r, k), v in sorted(found.items())]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -306,4 +306,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[a + r] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

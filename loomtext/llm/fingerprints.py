@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, trimmed
 from .kernel import U64, mix
 
 CELLS, HASHES = 24, 3
@@ -112,7 +112,7 @@ def sketched(rows: DataFrame, cells: int = CELLS) -> DataFrame:
             s = sketches(d, row, batch.num_rows, cells, 0)
             yield pa.record_batch([batch.column("doc_id"), pa.array([x.tobytes() for x in s], pa.binary())], names=["doc_id", "sketch"])
 
-    return rows.select("doc_id", "digests").mapInArrow(run, "doc_id bigint, sketch binary")
+    return rows.select("doc_id", "digests").mapInArrow(trimmed(run), "doc_id bigint, sketch binary")
 
 
 def links(rows: DataFrame) -> DataFrame:

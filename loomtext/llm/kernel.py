@@ -9,6 +9,8 @@ the lower-cased text (regex ``[a-z0-9\\u0080-\\U0010FFFF]+``).
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +23,20 @@ WORD_RE = r"[a-z0-9\u0080-\U0010ffff]+"
 WORD_RE2 = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 #: An odd multiplier is invertible modulo 2**64, so prefix sums give any word's hash.
 _R = 0x9E3779B97F4A7C15
-_STATE: dict = {}
 
 
 def _tables() -> dict:
-    if not _STATE:
+    """Constants, kept outside of the package: functions that travel by value would each make them anew."""
+    state = sys.modules.setdefault("_loomtext_constants", types.ModuleType("_loomtext_constants")).__dict__
+    if "word" not in state:
         rng = np.random.default_rng(20240229)
-        _STATE["value"] = rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
+        state["value"] = rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
         word = np.zeros(256, bool)
         word[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-        _STATE["word"] = word
-        _STATE["pow"] = np.ones(1, np.uint64)
-        _STATE["inv"] = np.ones(1, np.uint64)
-    return _STATE
+        state["word"] = word
+        state["pow"] = np.ones(1, np.uint64)
+        state["inv"] = np.ones(1, np.uint64)
+    return state
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +79,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most_bytes`` each; a longer single row is a range of its own."""
     n = len(column)
     if not n:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, large, sample_ids
+from .common import batch_of, large, sample_ids, trimmed
 from .kernel import buffers, lowered, slices
 
 #: Bounds of the labelled sample that the automata are built from.
@@ -234,7 +234,7 @@ def train(docs: DataFrame, label: str = "lang", per_label: int = SAMPLE_DOCS, mo
 
 def _judged(model, batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
     text = large(batch, "text")
-    for a, b in slices(text, 8 << 20):
+    for a, b in slices(text, 3 << 20):
         yield a, b, model.value.judge(text.slice(a, b - a))
 
 
@@ -249,7 +249,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 number = lambda x: pa.array(x, pa.float64(), mask=np.isnan(x))
                 yield batch_of(schema, [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), lang, number(bits), number(margin), none])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -261,4 +261,4 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
             keep = np.concatenate([~d[3] for _, _, d in _judged(shared, batch)] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

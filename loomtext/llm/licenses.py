@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import large
+from .common import large, trimmed
 from .kernel import grams, lowered, rows_of, slices, words
 
 GRAM, MERGE, COVER = 3, 3, 0.6
@@ -57,7 +57,7 @@ def rolling(docs: DataFrame, n: int = GRAM) -> DataFrame:
                 if len(g):
                     yield pa.record_batch([pa.array(ids[a:b][row]), pa.array((np.arange(len(g)) - own[row]).astype(np.int32)), pa.array(g.view(np.int64))], schema=schema)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, at int, h bigint")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, at int, h bigint")
 
 
 def positions(templates: dict[str, str], n: int = GRAM) -> list[tuple[str, int, int, int]]:

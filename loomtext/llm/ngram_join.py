@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, large, partitions
+from .common import durable, large, partitions, trimmed, trimmed_group
 from .kernel import U64, grams, lowered, mix, slices, words
 
 GRAM, THRESHOLD = 3, 0.45
@@ -89,7 +89,7 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                 _, size, fp = gram_sets(text.slice(a, b - a), n)
                 yield pa.record_batch([ids.slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32))], schema=schema).filter(pa.array(size > 0))
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, fp bigint, size int")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(trimmed(run), "doc_id bigint, fp bigint, size int")
 
 
 def _pack(**arrays: np.ndarray) -> dict:
@@ -129,7 +129,7 @@ def _routed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "bucket int, fp binary, home binary, size binary, count binary, gram binary")
+    return docs.where("doc_id is not null").select("text").mapInArrow(trimmed(run), "bucket int, fp binary, home binary, size binary, count binary, gram binary")
 
 
 def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -182,7 +182,7 @@ def _shared(routed: DataFrame, buckets: int) -> DataFrame:
                 out.append({"part": k} | _pack(fp=fp[who], home=home[told], size=size[told], count=np.diff(np.append(edge, b - a)).astype(np.uint32), gram=ids[a:b], df=np.minimum(df[a:b], 65535).astype(np.uint16)))
         return pa.Table.from_pylist(out, schema=kinds)
 
-    return routed.groupBy("bucket").applyInArrow(run, "part int, fp binary, home binary, size binary, count binary, gram binary, df binary")
+    return routed.groupBy("bucket").applyInArrow(trimmed_group(run), "part int, fp binary, home binary, size binary, count binary, gram binary, df binary")
 
 
 def _survivors(shared: DataFrame, per_mille: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _survivors(shared: DataFrame, per_mille: int) -> DataFrame:
         cost = run_df[first + prefix] - run_df[first] if len(live) else np.zeros(0, np.int64)
         return pa.table([pa.array(names[live].view(np.int64)), pa.array(sizes[live].astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(cost), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(g.view(np.int64)))], schema=kinds)
 
-    return shared.groupBy("part").applyInArrow(run, "fp bigint, size int, prefix int, cost bigint, grams array<bigint>")
+    return shared.groupBy("part").applyInArrow(trimmed_group(run), "fp bigint, size int, prefix int, cost bigint, grams array<bigint>")
 
 
 def boundary(sets: DataFrame) -> int:
@@ -265,7 +265,7 @@ def _keys(sets: DataFrame, light: int, per_mille: int) -> DataFrame:
             if out[0]:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], schema=kinds)
 
-    return sets.select("fp", "size", "prefix", "grams").mapInArrow(run, "key bigint, fp bigint, meta int, p bigint, q bigint, r bigint, s bigint")
+    return sets.select("fp", "size", "prefix", "grams").mapInArrow(trimmed(run), "key bigint, fp bigint, meta int, p bigint, q bigint, r bigint, s bigint")
 
 
 def _verified(found: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:

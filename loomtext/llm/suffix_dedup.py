@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, large, partitions
+from .common import durable, large, partitions, trimmed, trimmed_group
 from .kernel import U64, _powers, buffers, grams, lowered, mix, slices, words
 from .ngram_join import _joined, _pack
 
@@ -138,7 +138,7 @@ def _anchors(docs: DataFrame, least: int, k: int, buckets: int) -> DataFrame:
         x = x[count > 1]
         return pa.table({"n": pa.array([len(x)], pa.int64()), "anchor": pa.array([x.tobytes()], pa.binary())})
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "bucket int, anchor binary").groupBy("bucket").applyInArrow(twice, "n bigint, anchor binary")
+    return docs.where("doc_id is not null").select("text").mapInArrow(trimmed(run), "bucket int, anchor binary").groupBy("bucket").applyInArrow(trimmed_group(twice), "n bigint, anchor binary")
 
 
 def _segments(docs: DataFrame, repeated, least: int, k: int, buckets: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _segments(docs: DataFrame, repeated, least: int, k: int, buckets: int) -> Da
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "bucket int, doc binary, start binary, windows binary, more binary, word binary")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(trimmed(run), "bucket int, doc binary, start binary, windows binary, more binary, word binary")
 
 
 def _found(parts: DataFrame, least: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _found(parts: DataFrame, least: int) -> DataFrame:
             out = [np.concatenate(x) for x in zip(out, runs(doc, start, windows, flag))]
         return pa.table([pa.array(x, f.type) for x, f in zip(out, kinds)], schema=kinds)
 
-    return parts.groupBy("bucket").applyInArrow(run, "doc_id bigint, a int, b int, drop boolean")
+    return parts.groupBy("bucket").applyInArrow(trimmed_group(run), "doc_id bigint, a int, b int, drop boolean")
 
 
 def repeated_windows(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
@@ -304,7 +304,7 @@ def drop_repeats(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFr
                     columns.append(c)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 ORACLE = f"""
