@@ -7,10 +7,11 @@ versions subtract cell by cell, what they have in common cancels, and peeling ce
 single digest recovers those that differ. A sketch too small for the difference leaves
 cells that can't be peeled; such a pair is tried again with twice the cells.
 
-The earlier version of a document is the one that holds most of its paragraphs, where
-each paragraph votes for the last earlier document that has it too (ties: the later
-document), and at least half of the paragraphs vote for it. This takes one window over
-the digests, linear however many documents share one.
+The earlier version of a document is, of all earlier documents that hold at least half of
+its paragraphs, the one that holds most of them (ties: the later document). The last earlier
+holder of each paragraph votes, and an earlier document with all the same shared paragraphs
+is looked up; what either reaches is a lower bound, so only earlier holders of a document's
+rarest paragraphs can do better, and those are compared in full.
 
 Defined results: a null or blank text has no paragraphs, fingerprint 0 and no version; a
 paragraph repeated in a document counts once; rows with a null doc_id are left out; rows
@@ -116,11 +117,36 @@ def sketched(rows: DataFrame, cells: int = CELLS) -> DataFrame:
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """doc_id and prev_id, its earlier version."""
-    each = rows.select("doc_id", F.size("digests").alias("n"), F.explode("digests").alias("digest"))
-    votes = each.withColumn("prev_id", F.lag("doc_id").over(Window.partitionBy("digest").orderBy("doc_id"))).where("prev_id is not null").groupBy("doc_id", "n", "prev_id").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("doc_id", "n").agg(F.max(F.struct("votes", "prev_id")).alias("best"))
-    return best.where("best.votes * 2 >= n").select("doc_id", "best.prev_id")
+    """doc_id and prev_id, its earlier version.
+
+    ``kind`` stands for the paragraphs that a document shares with any other, so all of a
+    kind have the same overlaps and its last one stands for it. ``least`` is an overlap that
+    is known to be reached or is asked for; of the ``held`` paragraphs that earlier documents
+    have too, a better version shares one of the ``held - least + 1`` rarest.
+    """
+    by, own = Window.partitionBy("digest"), Window.partitionBy("doc_id")
+    each = rows.select("doc_id", F.size("digests").alias("n"), F.explode("digests").alias("digest")).withColumns({"last_id": F.lag("doc_id").over(by.orderBy("doc_id")), "holders": F.count(F.lit(1)).over(by)})
+    shared = durable(each.where("holders > 1").withColumns({"kind": F.bit_xor(F.xxhash64("digest")).over(own), "size": F.count(F.lit(1)).over(own)}))
+    held = shared.where("last_id is not null")
+    best = held.groupBy("doc_id", "n", "last_id").agg(F.count(F.lit(1)).alias("votes")).groupBy("doc_id", "n").agg(F.max(F.struct("votes", "last_id")).alias("best"), F.sum("votes").alias("held")).where("held * 2 >= n")
+    copy = shared.select("doc_id", "kind").distinct().select("doc_id", F.lag("doc_id").over(Window.partitionBy("kind").orderBy("doc_id")).alias("copy_id")).where("copy_id is not null")
+    # Where one document is the last holder of all, or one paragraph is enough, no later one does as well
+    all_held = F.col("best.votes") == F.col("held")
+    enough = F.greatest(F.col("best.votes"), F.ceil(F.col("n") / 2))
+    found = F.when(all_held | F.col("copy_id").isNull(), F.when(F.col("best.votes") == enough, F.col("best.last_id"))).otherwise(F.col("copy_id"))
+    goal = best.join(copy, "doc_id", "left").withColumns({"found": found, "least": F.when(F.col("copy_id").isNotNull(), F.col("held")).otherwise(enough)})
+    probes = F.when(all_held, 0).when(F.col("least") == 1, F.col("held") - 1).otherwise(F.col("held") - F.col("least") + 1)
+    goal = durable(goal.select("doc_id", "found", "least", "held", probes.alias("probes")))
+    rank = F.row_number().over(own.orderBy("holders", "digest"))
+    probe = held.select("doc_id", "digest", "holders").join(goal.where("probes > 0"), "doc_id").withColumn("rank", rank).where("rank <= probes").select("doc_id", "digest", "found", "least", "held")
+    holder = shared.select("digest", F.col("doc_id").alias("prev_id"), "size", "kind")
+    near = probe.join(holder, "digest").where("prev_id < doc_id and size >= least and (least < held or found is null or prev_id > found)")
+    near = durable(near.groupBy("doc_id", "least", "kind").agg(F.max("prev_id").alias("prev_id")).select("doc_id", "least", "prev_id"))
+    texts = shared.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
+    both = near.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("prev_id"), F.col("digests").alias("yours")), "prev_id")
+    both = both.select("doc_id", "prev_id", "least", F.size(F.array_intersect("digests", "yours")).cast("bigint").alias("overlap")).where("overlap >= least")
+    known = goal.where("found is not null").select("doc_id", F.col("found").alias("prev_id"), F.col("least").alias("overlap"))
+    return both.select("doc_id", "prev_id", "overlap").unionByName(known).groupBy("doc_id").agg(F.max(F.struct("overlap", "prev_id")).alias("best")).select("doc_id", "best.prev_id")
 
 
 _DIFF = "doc_id bigint, prev_id bigint, added array<bigint>, removed array<bigint>, whole boolean"

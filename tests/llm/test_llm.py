@@ -210,6 +210,22 @@ def test_sketch_round_trip():
         assert whole[0] and set(d[sign == 1]) == set(a) - set(b) and set(d[sign == -1]) == set(b) - set(a)
 
 
+def test_links_are_of_most_paragraphs(spark):
+    rng = random.Random(12)
+    sets = [{0, 1, 2, 3}, {0, 9}, {1, 8}, {2, 9}, {3, 8}, {0, 1, 2, 3}]  # each paragraph of the last has another last holder
+    for _ in range(200):
+        base = set(rng.choice(sets)) if rng.random() < 0.6 else set()
+        sets.append(base - set(rng.sample(range(40), 8)) | {min(rng.randrange(40), rng.randrange(40)) for _ in range(rng.randrange(5))})
+    docs = frame(spark, [(i, "\n".join(f"line {x}" for x in s)) for i, s in enumerate(sets)])
+    want = {}
+    for i, s in enumerate(sets):
+        best = max(((len(s & sets[j]), j) for j in range(i)), default=(0, -1))
+        if s and best[0] * 2 >= len(s):
+            want[i] = best[1]
+    got = {r.doc_id: r.prev_id for r in fingerprints.links(fingerprints.paragraphs(docs)).collect()}
+    assert got == want and got[5] == 0
+
+
 # 6 ------------------------------------------------------------------------------------------
 def test_lcs():
     rng = random.Random(6)
