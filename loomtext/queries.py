@@ -385,7 +385,7 @@ def minhash_lsh(spark, d):
 
 @query()
 def minhash_signatures(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(H.minhash(T.shingles("text"), 16).cast("array<string>"), ",").alias("signature"))
+    return docs(spark, d).select("doc_id", F.array_join(H.minhash(T.shingles("text"), 16).cast("array<string>"), ",").alias("signature"))
 
 
 def _s_simhash() -> str:
@@ -438,7 +438,7 @@ def edit_distance(spark, d):
 
 @query()
 def trigram_greedy_dedup(spark, d):
-    return dedup.trigram_greedy(table(spark, d, "benchmark"), "item_id", "text", 0.7)
+    return dedup.trigram_greedy(docs(spark, d), "doc_id", "text", 0.7)
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 5) AS similarity
@@ -454,7 +454,66 @@ def vector_norms(spark, d):
 
 @query()
 def embed_chunks(spark, d):
-    return table(spark, d, "benchmark").select("item_id", embed.encode("text").alias("embedding"))
+    return docs(spark, d).select("doc_id", embed.encode("text").alias("embedding"))
+
+
+# Over all documents, or all pairs of an item and a document: what has SQL over the short items alone above
+def _all(name: str) -> str:
+    return ORACLES[name].replace("benchmark", "documents").replace("item_id", "doc_id")
+
+
+@query(_all("character_ngrams"))
+def character_ngrams_documents(spark, d):
+    return docs(spark, d).select("doc_id", F.explode(T.character_ngrams("text")).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_all("sentence_keys"))
+def sentence_keys_documents(spark, d):
+    return docs(spark, d).select("doc_id", H.sentence_key("text").alias("exact_key"), H.sentence_block("text").alias("block"))
+
+
+@query(f"SELECT doc_id, coalesce(simhash, 0) AS simhash FROM documents LEFT JOIN ({_all('simhash')}) USING (doc_id)")
+def simhash_documents(spark, d):
+    return docs(spark, d).select("doc_id", H.simhash(T.shingles("text")).alias("simhash"))
+
+
+def _item_documents(spark, d):
+    return docs(spark, d).select(F.col("doc_id").alias("b"), F.col("text").alias("y")).repartition("b").crossJoin(table(spark, d, "benchmark").select(F.col("item_id").alias("a"), F.col("text").alias("x")))
+
+
+@query()
+def hamming_documents(spark, d):
+    return simhash(spark, d).toDF("a", "x").crossJoin(simhash_documents(spark, d).toDF("b", "y")).select("a", "b", H.hamming("x", "y").alias("distance"))
+
+
+def _trigram_pairs(spark, d):
+    """For all items and documents: distinct trigrams (p, q), norms (u, v), common trigrams o and product s of the counts."""
+
+    def side(t, key, grams, names):
+        sizes = grams.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("r"))
+        return t.select(key).join(sizes, key, "left").fillna(0).toDF(*names)
+
+    x, y = character_ngrams(spark, d), character_ngrams_documents(spark, d)
+    met = x.toDF("a", "gram", "n").join(y.toDF("b", "gram", "m"), "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"), F.sum(F.col("n") * F.col("m")).alias("s"))
+    both = side(docs(spark, d), "doc_id", y, ("b", "q", "v")).crossJoin(side(table(spark, d, "benchmark"), "item_id", x, ("a", "p", "u")))
+    return both.join(met, ["a", "b"], "left").fillna(0)
+
+
+@query()
+def trigram_jaccard_documents(spark, d):
+    union = F.col("p") + F.col("q") - F.col("o")
+    return _trigram_pairs(spark, d).select("a", "b", F.round(F.when(union > 0, F.col("o") / union).otherwise(0.0), 6).alias("jaccard"))
+
+
+@query()
+def trigram_cosine_documents(spark, d):
+    norm = F.col("u") * F.col("v")
+    return _trigram_pairs(spark, d).select("a", "b", F.round(F.when(norm > 0, F.col("s") / norm).otherwise(0.0), 6).alias("cosine"))
+
+
+@query()
+def edit_distance_documents(spark, d):
+    return _item_documents(spark, d).select("a", "b", F.levenshtein("x", "y").alias("distance"), F.round(H.fuzzy_similarity("x", "y"), 6).alias("similarity"))
 
 
 # Detection and sources ------------------------------------------------------------------------
@@ -681,6 +740,12 @@ def batch_union(spark, d):
     return stats.merge_results(a, table(spark, d, "benchmark").select(F.lit(2).alias("part"), F.col("item_id").alias("id"), "text"))
 
 
+@query("SELECT 1 AS part, doc_id AS id, text FROM documents UNION ALL SELECT 2, item_id, text FROM benchmark")
+def batch_union_documents(spark, d):
+    part = lambda df, k, key: df.select(F.lit(k).alias("part"), F.col(key).alias("id"), "text")
+    return stats.merge_results(part(docs(spark, d), 1, "doc_id"), part(table(spark, d, "benchmark"), 2, "item_id"))
+
+
 @query("SELECT count(*) AS total_files, sum((n_chars > 0 AND n_chars < 5000)::INTEGER)::BIGINT AS successful_files, count(*) - sum((n_chars > 0 AND n_chars < 5000)::INTEGER)::BIGINT AS failed_files FROM documents")
 def request_stats(spark, d):
     return stats.request_stats(docs(spark, d).withColumn("status", F.when(F.col("n_chars").between(1, 4999), "completed").otherwise("failed")))

@@ -39,3 +39,14 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_all_documents_and_pairs(spark):
+    ids = {r[0] for r in base.docs(spark, SF).select("doc_id").collect()}
+    items = {r[0] for r in base.table(spark, SF, "benchmark").select("item_id").collect()}
+    for name in ("minhash_signatures", "embed_chunks", "sentence_keys_documents"):
+        assert {r.doc_id for r in base.QUERIES[name](spark, SF).select("doc_id").collect()} == ids, name
+    assert {r[0] for r in base.QUERIES["trigram_greedy_dedup"](spark, SF).select("doc_id").collect()} <= ids
+    assert base.QUERIES["batch_union_documents"](spark, SF).count() == len(ids) + len(items)
+    for name in ("hamming", "trigram_jaccard", "trigram_cosine", "edit_distance"):
+        assert base.QUERIES[f"{name}_documents"](spark, SF).select("a", "b").distinct().count() == len(ids) * len(items), name
