@@ -44,14 +44,19 @@ def segments(h: np.ndarray, first: np.ndarray, least: int, k: int) -> tuple[np.n
     if n < least - k + 1:
         return none, none, none, np.zeros(0, np.uint64)
     g = grams(h, np.array([0, len(h)]), k)[0]
-    low = (g & ~_AT) | np.arange(n, dtype=np.uint64)  # the leftmost of equal ones
     width, done = least - k + 1, 1
+    if n - 1 <= int(_AT):
+        low = (g & ~_AT) | np.arange(n, dtype=np.uint64)  # the leftmost of equal ones
+        lower = np.minimum
+    else:  # a place that doesn't fit beside the hash: the same choice by places alone
+        low, high = np.arange(n), g & ~_AT
+        lower = lambda x, y: np.where(high[y] < high[x], y, x)
     while done * 2 <= width:
-        low = np.minimum(low[:-done], low[done:])
+        low = lower(low[:-done], low[done:])
         done *= 2
     if done < width:
-        low = np.minimum(low[: len(low) - (width - done)], low[width - done :])
-    anchor = (low & _AT).astype(np.int64)
+        low = lower(low[: len(low) - (width - done)], low[width - done :])
+    anchor = (low & _AT).astype(np.int64) if n - 1 <= int(_AT) else low
     size = np.maximum(np.diff(first) - least + 1, 0)
     row = np.repeat(np.arange(len(size)), size)
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first[:-1], size)

@@ -335,6 +335,19 @@ def test_suffix_tree(spark):
 
 
 # 9 ------------------------------------------------------------------------------------------
+def test_minimizers_of_a_text_longer_than_a_place(monkeypatch):
+    rng = np.random.default_rng(9)
+    h = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    h[200:300] = h[20:120]
+    monkeypatch.setattr(suffix_dedup, "_AT", kernel.U64(63))  # as 2**24 - 1 is to a text of more words
+    row, start, windows, anchor = suffix_dedup.segments(h, np.array([0, 300]), 12, 4)
+    g = kernel.grams(h, np.array([0, 300]), 4)[0]
+    best = [min(range(i, i + 9), key=lambda j: (int(g[j]) >> 6, j)) for i in range(289)]
+    assert windows.sum() == 289 and np.repeat(anchor, windows).tolist() == g[best].tolist()
+    each = np.repeat(anchor, windows)
+    assert each[20:109].tolist() == each[200:289].tolist()
+
+
 def test_bounded_lcp():
     rng = np.random.default_rng(3)
     for n, sigma in ((30, 2), (300, 3), (500, 50)):
