@@ -31,6 +31,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one where the columns have it already in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions, which the cluster sizes with the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,29 +1,37 @@
 """Size-aware heavy-light Jaccard join of word n-gram sets (operator 4).
 
 Every document becomes the set of its distinct word n-grams (a shorter text: one gram
-of all its words). All pairs with Jaccard similarity of at least ``threshold`` are found,
-exactly, in these steps:
+of all its words). All pairs of sets with Jaccard similarity of at least ``threshold`` are
+found in these steps:
 
-1. Equal sets are one set, named by a fingerprint; its smallest doc_id represents it.
+1. Equal sets are one set, named by a fingerprint.
 2. Grams are routed by hash to buckets as packed arrays, and each bucket learns which of
    its grams occur in two sets or more, and in how many. Other grams can't be shared, so a
    set whose shared grams are fewer than its least overlap ``ceil(t * size)`` has no
    partner and is done. The rest keep their shared grams, rarest first.
-3. A partner misses at most ``d`` of them. Small (light) sets enumerate all pairs of the
-   first ``d + 2`` grams: partners must have such a subset in common. Large (heavy) sets
-   scan the inverted lists of their first ``d + 1`` grams, in which light sets of a
-   compatible size are listed too. An entry also names the four grams before it: two sets
-   that have one of them in common met in its list already. The boundary is the size at
-   which the summed cost of subsets, entries and pairs, from the sets' own figures, is least.
-4. Candidates are routed to cells of a grid of fingerprints, each needed set once to a cell,
-   and verified there by intersecting their shared grams.
-
-Nothing is capped, and no text is shuffled: what moves is 4 to 6 bytes a gram.
-
-Defined results: null or wordless texts have no partner; rows with a null doc_id name no
-document and are left out; rows that repeat a doc_id are one document if their texts are
-equal; ties don't arise (every qualifying pair is returned); an empty table gives no
-pairs; other columns are not read.
+3. Sets are put into blocks by the smallest hash of their shared grams, where near copies
+   meet; a block of more than ``BLOCK_GRAMS`` grams is split. Sets of one block are candidates.
+4. A partner misses at most ``d`` of a set's shared grams. Small (light) sets enumerate all
+   pairs of the first ``d + 2`` grams: partners must have such a subset in common. Large
+   (heavy) sets scan the inverted lists of their first ``d + 1`` grams, in which light sets of
+   a compatible size are listed too. A list names a block once, however many of its sets
+   hold the gram. The boundary is the size at which the summed cost of subsets, entries and
+   pairs, from the sets' own figures, is least.
+5. Blocks that meet are verified in the cell of the larger one: all sets of both are compared
+   by a product of their incidence matrices. A block of very many partners has several cells.
+
+Nothing is capped, and no text is shuffled: what moves is 4 to 8 bytes a gram. Pairs leave a
+cell as numbers of links and as the edges of a forest, so a group of near copies takes as
+many rows as it has members, not their square.
+
+A gram is 32 bits and its bucket's number, a set 64 bits. With ``B`` buckets two given grams
+are mistaken for one with a chance of ``2**-32 / B``, so an overlap of sets of ``m`` and ``n``
+grams is expected to be too large by ``m * n / B / 2**32``.
+
+Defined results: null or wordless texts have no partner and are classes of their own; rows
+with a null doc_id name no document and are left out (``keep_one`` groups them too);
+rows that repeat a doc_id are one document that has all their texts; ties don't arise (every
+qualifying pair counts); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,15 +40,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import durable, large, partitions, trimmed, trimmed_group
+from .common import durable, large, partitions, trimmed, trimmed_group, unused
 from .kernel import U64, grams, lowered, mix, slices, words
 
 GRAM, THRESHOLD = 3, 0.45
 #: Removed ids up to this many are broadcast to the documents; beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
+#: Blocks that are split are named to the tasks up to this many; beyond, the join shuffles.
+BROADCAST_BLOCKS = 1_000_000
+#: Grams of a block and of the partners in one of its cells: 8 MB each.
+BLOCK_GRAMS = 1 << 20
 PASSED = 0.05
 _LOW32 = U64(0xFFFFFFFF)
 
@@ -79,7 +92,7 @@ def _fold(h: np.ndarray) -> int:
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, fp, size of each document that has a word."""
+    """doc_id, fp, size of each row that has a word."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("size", pa.int32())])
 
     def run(batches):
@@ -89,7 +102,7 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                 _, size, fp = gram_sets(text.slice(a, b - a), n)
                 yield pa.record_batch([ids.slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32))], schema=schema).filter(pa.array(size > 0))
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(trimmed(run), "doc_id bigint, fp bigint, size int")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, fp bigint, size int")
 
 
 def _pack(**arrays: np.ndarray) -> dict:
@@ -129,7 +142,7 @@ def _routed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(trimmed(run), "bucket int, fp binary, home binary, size binary, count binary, gram binary")
+    return docs.select("text").mapInArrow(trimmed(run), "bucket int, fp binary, home binary, size binary, count binary, gram binary")
 
 
 def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -186,8 +199,8 @@ def _shared(routed: DataFrame, buckets: int) -> DataFrame:
 
 
 def _survivors(shared: DataFrame, per_mille: int) -> DataFrame:
-    """fp, size and shared grams, rarest first, of the sets that share enough of them to have a partner."""
-    kinds = pa.schema([("fp", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("cost", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    """fp, size, shared grams (rarest first) and the smallest hash of them (label) of the sets that share enough to have a partner."""
+    kinds = pa.schema([("fp", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("cost", pa.int64()), ("label", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(key, table):
         fp, g = _joined(table, "fp", np.uint64), _joined(table, "gram", np.uint64)
@@ -211,9 +224,10 @@ def _survivors(shared: DataFrame, per_mille: int) -> DataFrame:
         prefix = total[live] - least[live] + 1
         run_df = np.concatenate([[0], np.cumsum(df.astype(np.int64))])
         cost = run_df[first + prefix] - run_df[first] if len(live) else np.zeros(0, np.int64)
-        return pa.table([pa.array(names[live].view(np.int64)), pa.array(sizes[live].astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(cost), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(g.view(np.int64)))], schema=kinds)
+        label = np.minimum.reduceat(mix(g + U64(0x632BE59BD9B4E019)), first) if len(live) else np.zeros(0, np.uint64)
+        return pa.table([pa.array(names[live].view(np.int64)), pa.array(sizes[live].astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(cost), pa.array(label.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(g.view(np.int64)))], schema=kinds)
 
-    return shared.groupBy("part").applyInArrow(trimmed_group(run), "fp bigint, size int, prefix int, cost bigint, grams array<bigint>")
+    return shared.groupBy("part").applyInArrow(trimmed_group(run), "fp bigint, size int, prefix int, cost bigint, label bigint, grams array<bigint>")
 
 
 def boundary(sets: DataFrame) -> int:
@@ -230,93 +244,167 @@ def boundary(sets: DataFrame) -> int:
     return at
 
 
-def _keys(sets: DataFrame, light: int, per_mille: int) -> DataFrame:
-    """Join keys of each set: kind 1 for subsets of light sets, 0 for the lists that heavy sets scan and light ones stand in.
+def _placed(sets: DataFrame) -> DataFrame:
+    """The sets with their block: the label, or a part of it where its sets have more than BLOCK_GRAMS grams."""
+    full = sets.groupBy("label").agg(F.sum(F.size("grams")).alias("load")).where(F.col("load") > BLOCK_GRAMS)
+    full = durable(full.select("label", F.ceil(F.col("load") / BLOCK_GRAMS).alias("parts")))
+    split = F.xxhash64("label", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    joined = sets.join(F.broadcast(full) if full.count() <= BROADCAST_BLOCKS else full, "label", "left")
+    return joined.select("fp", "size", "prefix", "grams", F.when(F.col("parts").isNull(), F.col("label")).otherwise(split).alias("block"))
 
-    ``meta`` is twice the size, plus 1 where the row looks for partners: all but those of light sets in lists.
+
+def _keys(placed: DataFrame, light: int, per_mille: int) -> DataFrame:
+    """Join keys of each block: of kind 1 for subsets of light sets, of kind 0 for the lists that heavy sets scan and light ones stand in.
+
+    ``sizes`` holds the least and the greatest size of the sets with the key, ``state`` four
+    times the block's grams, plus 2 if it has several sets, plus 1 where one of the sets looks
+    for partners: all but light sets in lists.
     """
-    kinds = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("meta", pa.int32()), *((c, pa.int64()) for c in "pqrs")])
+    kinds = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("sizes", pa.int64()), ("state", pa.int64())])
     tiny = 1000 // per_mille  # sets that large or less may share a single gram with a partner, too few for a subset
 
-    def run(batches):
+    def run(key, table):
         ij: dict[int, tuple] = {}
-        for batch in batches:
-            out = [[] for _ in kinds]
-
-            def add(kind, keys, fp, size, heavy):
-                n = len(keys)
-                # where there is no gram before, the set's own name, which no other has
-                before = [np.concatenate([np.full(min(d, n), fp), keys[: max(n - d, 0)]]) if kind == 0 else np.full(n, fp) for d in (1, 2, 3, 4)]
-                for x, v in zip(out, (mix(keys.view(np.uint64) + U64(kind)).view(np.int64), np.full(n, fp), np.full(n, size * 2 + (heavy or kind), np.int32), *before)):
-                    x.append(v)
-
-            for fp, size, m, g in zip(*(batch.column(k).to_pylist() for k in ("fp", "size", "prefix")), batch.column("grams")):
-                g = g.values.to_numpy()
-                small = size <= tiny
-                if size <= light and not small:
-                    w = min(m + 1, len(g))
-                    i, j = ij.setdefault(w, np.triu_indices(w, 1))
-                    x = np.sort(np.stack([g[i], g[j]]).view(np.uint64), 0)
-                    add(1, mix(x[0] * U64(0x9E3779B97F4A7C15) + mix(x[1])).view(np.int64), fp, size, False)
-                    if 1000 * size >= per_mille * (light + 1) or per_mille * size <= 1000 * tiny:
-                        add(0, g[:m], fp, size, False)
-                else:
-                    add(0, g[:m], fp, size, True)
-            if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], schema=kinds)
-
-    return sets.select("fp", "size", "prefix", "grams").mapInArrow(trimmed(run), "key bigint, fp bigint, meta int, p bigint, q bigint, r bigint, s bigint")
-
-
-def _verified(found: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
-    """fp_a, fp_b and jaccard of the candidates that reach the threshold."""
-    grid = max(2, math.isqrt(partitions(found.sparkSession) - 1) + 1)
-    side = lambda c: F.pmod(F.xxhash64(c), F.lit(grid)).cast("int")
-    pairs = found.withColumn("cell", side("fp_a") * grid + side("fp_b"))
-    need = pairs.select(F.col("cell").alias("at"), F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct().join(sets.select("fp", "size", "grams"), "fp")
-
-    def run(key, pairs, need):
-        fp, size = need.column("fp").to_numpy(), need.column("size").to_numpy()
-        grams = need.column("grams").combine_chunks()
+        names, code = np.unique(table.column("block").to_numpy(), return_inverse=True)
+        load = np.bincount(code, [len(g) for g in table.column("grams")], len(names)).astype(np.int64) * 4 + (np.bincount(code, minlength=len(names)) > 1) * 2
+        keys, own, sizes, looks = [], [], [], []
+
+        def add(kind, k, block, size, look):
+            keys.append(mix(k.view(np.uint64) + U64(kind)).view(np.int64))
+            own.append(np.full(len(k), block))
+            sizes.append(np.full(len(k), size, np.int64))
+            looks.append(np.full(len(k), look, np.int64))
+
+        for block, size, m, g in zip(code.tolist(), *(table.column(k).to_pylist() for k in ("size", "prefix")), table.column("grams")):
+            g = g.values.to_numpy()
+            small = size <= tiny
+            if size <= light and not small:
+                w = min(m + 1, len(g))
+                i, j = ij.setdefault(w, np.triu_indices(w, 1))
+                x = np.sort(np.stack([g[i], g[j]]).view(np.uint64), 0)
+                add(1, mix(x[0] * U64(0x9E3779B97F4A7C15) + mix(x[1])).view(np.int64), block, size, 1)
+                if 1000 * size >= per_mille * (light + 1) or per_mille * size <= 1000 * tiny:
+                    add(0, g[:m], block, size, 0)
+            else:
+                add(0, g[:m], block, size, 1)
+        k, b, n, look = (np.concatenate(x) for x in (keys, own, sizes, looks))
+        order = np.lexsort((b, k))
+        k, b, n, look = k[order], b[order], n[order], look[order]
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])]))
+        least, most = np.minimum.reduceat(n, edge), np.maximum.reduceat(n, edge)
+        b = b[edge]
+        return pa.table([pa.array(x) for x in (k[edge], names[b], least << 32 | most, load[b] + np.maximum.reduceat(look, edge))], schema=kinds)
+
+    return placed.groupBy(F.pmod("block", F.lit(max(4, partitions(placed.sparkSession)))).alias("part")).applyInArrow(trimmed_group(run), "key bigint, block bigint, sizes bigint, state bigint")
+
+
+def _cells(placed: DataFrame, light: int, per_mille: int) -> DataFrame:
+    """x, part, block: the blocks that meet in each part of the cell of block x, itself among them."""
+    keys = durable(_keys(placed, light, per_mille))
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "sizes", "state"))) for side in "ab")
+    least, most = (lambda s: F.shiftright(f"sizes_{s}", 32)), (lambda s: F.col(f"sizes_{s}").bitwiseAND(F.lit(0xFFFFFFFF)))
+    fit = [most(s) * 1000 >= least(t) * per_mille for s, t in ("ab", "ba")]
+    met = a.join(b, "key").where("block_a < block_b and (state_a & 1 = 1 or state_b & 1 = 1)").where(fit[0] & fit[1])
+    sides = [F.struct(F.shiftright(f"state_{s}", 2).alias("load"), F.col(f"block_{s}").alias("block")) for s in "ab"]
+    pairs = met.select(F.greatest(*sides).alias("x"), F.least(*sides).alias("y")).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"), F.col("y.load").alias("load")).distinct()
+    pairs = durable(pairs.unionByName(keys.where("state & 2 = 2").select(F.col("block").alias("x"), F.col("block").alias("y"), F.lit(0).cast("bigint").alias("load")).distinct()))
+    total = pairs.groupBy("x").agg(F.ceil((F.sum("load") + 1) / BLOCK_GRAMS).alias("parts"))
+    cells = pairs.join(total, "x").select("x", F.when(F.col("load") == 0, 0).otherwise(F.pmod(F.xxhash64("y"), F.col("parts"))).alias("part"), F.col("y").alias("block"))
+    return durable(cells.unionByName(cells.select("x", "part", F.col("x").alias("block"))).distinct())
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets x with all sets y, by a product of their incidence matrices over the grams of x."""
+    size = lambda s: np.fromiter(map(len, s), np.int64, len(s))
+    known, code = np.unique(np.concatenate(x), return_inverse=True)
+    row = np.repeat(np.arange(len(x)), size(x))
+    other, mine = np.concatenate(y), np.repeat(np.arange(len(y)), size(y))
+    at = np.minimum(np.searchsorted(known, other), len(known) - 1)
+    hit = known[at] == other
+    at, mine = at[hit], mine[hit]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for parts in ((code, row), (at, mine)):
+        order = np.argsort(parts[0], kind="stable")
+        for p in parts:
+            p[:] = p[order]
+    for a in range(0, len(known), columns):
+        m = []
+        for c, r, n in ((code, row, len(x)), (at, mine, len(y))):
+            i, j = np.searchsorted(c, (a, a + columns))
+            m.append(np.zeros((n, columns), np.float32))
+            m[-1][r[i:j], c[i:j] - a] = 1
+        out += m[0] @ m[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that it is linked with, directly or not."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1, initial=len(label)))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verified(cells: DataFrame, placed: DataFrame, per_mille: int, pairs: bool) -> DataFrame:
+    """fp_a, fp_b, n, jaccard: the pairs of sets that reach the threshold, or else (n is not null) numbers of links and, at 0, edges of a forest."""
+    kinds = pa.schema([("fp_a", pa.int64()), ("fp_b", pa.int64()), ("n", pa.int64()), ("jaccard", pa.float64())])
+
+    def compared(x, y, size_x, size_y, fp_x, fp_y, same):
+        overlap = overlaps(x, y)
+        union = size_x[:, None] + size_y[None, :] - overlap
+        linked = overlap * 1000 >= union * per_mille
+        if same:
+            np.fill_diagonal(linked, False)
+        if pairs:
+            a, b = np.nonzero(np.triu(linked) if same else linked)
+            return [fp_x[a], fp_y[b], np.full(len(a), -1), np.round(overlap[a, b] / union[a, b], 6)]
+        if same:
+            n, root, fp = linked.sum(1), forest(linked), fp_x
+        else:
+            n, fp = np.concatenate([linked.sum(1), linked.sum(0)]), np.concatenate([fp_x, fp_y])
+            root = forest(np.block([[np.zeros((len(x), len(x)), bool), linked], [linked.T, np.zeros((len(y), len(y)), bool)]]))
+        on, tied = n > 0, root != np.arange(len(root))
+        return [np.concatenate([fp[on], fp[tied]]), np.concatenate([fp[on], fp[root[tied]]]), np.concatenate([n[on], np.zeros(tied.sum(), np.int64)]), np.zeros(on.sum() + tied.sum())]
+
+    def run(key, table):
+        x, part, block, fp, size = (table.column(c).to_numpy() for c in ("x", "part", "block", "fp", "size"))
+        grams, out = table.column("grams").combine_chunks(), []
         grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
-        code = np.unique(grams.flatten().to_numpy(), return_inverse=True)[1]
-        length = np.diff(grams.offsets.to_numpy())
-        begin = np.cumsum(length) - length
-        order = np.argsort(fp)
-        place = lambda c: order[np.searchsorted(fp[order], pairs.column(c).to_numpy())]
-        a, b = place("fp_a"), place("fp_b")
-        by = np.argsort(a, kind="stable")
-        a, b = a[by], b[by]
-        edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else a
-        mark, overlap = np.zeros(int(code.max(initial=-1)) + 1, bool), np.zeros(len(a), np.int64)
-        for i, j in zip(edge, np.append(edge[1:], len(a))):
-            own = code[begin[a[i]] : begin[a[i]] + length[a[i]]]
-            mark[own] = True
-            for lo in range(i, j, 2000):
-                other = b[lo : min(j, lo + 2000)]
-                n = length[other]
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[other], n)
-                overlap[lo : lo + len(other)] = np.add.reduceat(mark[code[at]].astype(np.int64), np.cumsum(n) - n)
-            mark[own] = False
-        union = size[a].astype(np.int64) + size[b] - overlap
-        keep = overlap * 1000 >= union * per_mille
-        a, b = a[keep], b[keep]
-        return pa.table({"fp_a": pa.array(fp[a], pa.int64()), "fp_b": pa.array(fp[b], pa.int64()), "jaccard": pa.array(np.round(overlap[keep] / union[keep], 6), pa.float64())})
-
-    return pairs.select("cell", "fp_a", "fp_b").groupBy("cell").cogroup(need.groupBy("at")).applyInArrow(run, "fp_a bigint, fp_b bigint, jaccard double")
+        flat, offset, size = grams.values.to_numpy(), grams.offsets.to_numpy(), size.astype(np.int64)
+        order = np.lexsort((block != x, part, x))
+        edge = np.flatnonzero(np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (part[order][1:] != part[order][:-1])]))
+        for i, j in zip(edge, np.append(edge[1:], len(order))):
+            own = order[i:j]
+            mine, theirs = own[block[own] == x[own]], own[block[own] != x[own]]
+            sets = lambda rows: [flat[offset[r] : offset[r + 1]] for r in rows]
+            if part[own[0]] == 0 and len(mine) > 1:
+                out.append(compared(sets(mine), sets(mine), size[mine], size[mine], fp[mine], fp[mine], True))
+            if len(theirs):
+                out.append(compared(sets(mine), sets(theirs), size[mine], size[theirs], fp[mine], fp[theirs], False))
+        a, b, n, jaccard = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0)] * 4
+        swap = (n < 0) & (a > b)
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64(), mask=n < 0), pa.array(jaccard, pa.float64(), mask=n >= 0)], schema=kinds)
+
+    groups = 4 * max(4, partitions(placed.sparkSession))
+    need = cells.join(placed.select("block", "fp", "size", "grams"), "block")
+    return need.groupBy(F.pmod(F.xxhash64("x", "part"), F.lit(groups)).alias("group")).applyInArrow(trimmed_group(run), "fp_a bigint, fp_b bigint, n bigint, jaccard double")
+
+
+def _joined_sets(docs: DataFrame, n: int, threshold: float, pairs: bool) -> DataFrame:
+    per_mille = math.ceil(threshold * 1000 - 1e-9)
+    buckets = max(4, partitions(docs.sparkSession))
+    sets = durable(_survivors(_shared(_routed(docs, n, buckets), buckets), per_mille))
+    placed = _placed(sets)
+    return _verified(_cells(placed, boundary(sets), per_mille), placed, per_mille, pairs)
 
 
 def similar_sets(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """fp_a, fp_b and jaccard of all pairs of different sets that reach the threshold."""
-    per_mille = math.ceil(threshold * 1000 - 1e-9)
-    buckets = max(4, partitions(docs.sparkSession))
-    sets = durable(_survivors(_shared(_routed(docs, n, buckets), buckets), per_mille))
-    keys = _keys(sets, boundary(sets), per_mille)
-    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "meta", "p", "q", "r", "s"))) for side in "ab")
-    met = " or ".join(f"{x}_a = {y}_b" for x in "pqrs" for y in "pqrs")
-    small, big = F.floor(F.least("meta_a", "meta_b") / 2), F.floor(F.greatest("meta_a", "meta_b") / 2)
-    found = a.join(b, "key").where(f"fp_a < fp_b and (meta_a % 2 = 1 or meta_b % 2 = 1) and not ({met})").where(small * 1000 >= big * per_mille).select("fp_a", "fp_b").distinct()
-    return _verified(durable(found), sets, per_mille)
+    return _joined_sets(docs, n, threshold, True).select("fp_a", "fp_b", "jaccard")
 
 
 def similar_documents(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -326,45 +414,104 @@ def similar_documents(docs: DataFrame, n: int = GRAM, threshold: float = THRESHO
     document stands for all of them in pairs with others: what holds for it holds for each
     of them, and a group of copies takes as many rows as it has members, not their square.
     """
+    docs = docs.where("doc_id is not null")
     members = _members(docs, n)
     first = members.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     star = members.join(first, "fp").where("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
     pairs = similar_sets(docs, n, threshold)
-    both = pairs.join(first.withColumnsRenamed({"fp": "fp_a", "rep": "x"}), "fp_a").join(first.withColumnsRenamed({"fp": "fp_b", "rep": "y"}), "fp_b")
+    both = pairs.join(first.withColumnsRenamed({"fp": "fp_a", "rep": "x"}), "fp_a").join(first.withColumnsRenamed({"fp": "fp_b", "rep": "y"}), "fp_b").where("x <> y")
     return star.unionByName(both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """doc_id, root: of each linked document the smallest doc_id that it is linked with, directly or not.
+    """node, root: of each node of the edges u, v the smallest one that it is linked with, directly or not.
 
     Labels spread over neighbours and jump to their label's label; each round is written,
     so that a lost executor costs no more than a round.
     """
-    edges = durable(pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).unionByName(pairs.select(F.col("doc_id_b").alias("u"), F.col("doc_id_a").alias("v"))).distinct())
-    label = durable(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).select(F.col("u").alias("doc_id"), "root"))
+    edges = durable(pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = durable(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).select(F.col("u").alias("node"), "root"))
     while True:
-        near = edges.join(label, edges.v == label.doc_id).groupBy("u").agg(F.min("root").alias("near"))
-        grown = label.join(near, label.doc_id == near.u).select("doc_id", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        jump = grown.select(F.col("doc_id").alias("root"), F.col("root").alias("far"))
-        new = durable(grown.join(jump, "root", "left").select("doc_id", F.least("root", F.coalesce("far", "root")).alias("root"), "old"))
-        label = new.select("doc_id", "root")
+        near = edges.join(label, edges.v == label.node).groupBy("u").agg(F.min("root").alias("near"))
+        grown = label.join(near, label.node == near.u).select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        jump = grown.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = durable(grown.join(jump, "root", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"), "old"))
+        label = new.select("node", "root")
         if not new.where("root <> old").limit(1).count():
             return label
 
 
+def classes(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_copies, n_links: one row for each document.
+
+    A class is all documents that are linked, directly or not, named by the smallest doc_id;
+    ``n_copies`` counts the other documents of an equal set, ``n_links`` the different sets that
+    reach the threshold (summed over the texts of a document that has several).
+    """
+    docs = docs.where("doc_id is not null")
+    members = durable(_members(docs, n).select("doc_id", "fp").distinct())
+    found = durable(_joined_sets(docs, n, threshold, False))
+    # several texts of one doc_id belong together as well
+    first = members.groupBy("doc_id").agg(F.min("fp").alias("v"), F.max("fp").alias("last")).where("v <> last")
+    root = components(found.where("n = 0").select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")).unionByName(members.join(first, "doc_id").where("fp <> v").select(F.col("fp").alias("u"), "v")))
+    links = found.where("n > 0").groupBy(F.col("fp_a").alias("fp")).agg(F.sum("n").alias("links"))
+    sets = members.groupBy("fp").agg(F.min("doc_id").alias("rep"), (F.count(F.lit(1)) - 1).alias("copies"))
+    sets = sets.join(root.withColumnRenamed("node", "fp"), "fp", "left").join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = sets.groupBy("root").agg(F.min("rep").alias("class_id"))
+    each = members.join(sets.join(names, "root").select("fp", "class_id", "copies", "links"), "fp").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("n_copies"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
+    none = {"n_copies": 0, "n_links": 0}
+    return docs.select("doc_id").distinct().join(each, "doc_id", "left").fillna(none).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_copies", "n_links")
+
+
 def keep_one(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those linked to one of a smaller doc_id, all columns unchanged."""
-    gone = durable(components(similar_documents(docs, n, threshold)).where("doc_id <> root").select("doc_id"))
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each class, that of the smallest doc_id (a null one only where there is no other), all columns unchanged.
+
+    Rows are told apart by doc_id and set: of rows equal in both one stays, and where a
+    doc_id has several texts, each is judged by itself. Rows without a word all stay.
+    """
+    fp_, row_, doc, key = (unused(docs, c) for c in ("fp", "row", "doc", "key"))
+    members = durable(_members(docs, n).groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("rows")))
+    found = durable(_joined_sets(docs, n, threshold, False).where("n = 0"))
+    root = components(found.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))).withColumnRenamed("node", "fp")
+    named = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")
+    own = members.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = own.groupBy("root").agg(F.min(named).alias("best"))
+    gone = durable(own.join(best, "root").where(named != F.col("best")).select(F.col("doc_id").alias(doc), F.col("fp").alias(key)))
+    again = durable(members.where("rows > 1").select(F.col("doc_id").alias(doc), F.col("fp").alias(key)))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    match = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(fp_) == F.col(key))
+
+    def run(batches):
+        for batch in batches:
+            text, fp = large(batch, "text"), []
+            for a, b in slices(text):
+                _, size, x = gram_sets(text.slice(a, b - a), n)
+                fp.append(pa.array(x.view(np.int64), pa.int64(), mask=size == 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(fp) if fp else pa.array([], pa.int64())], names=names)
+
+    names = [*docs.columns, fp_]
+    schema = StructType([*docs.schema.fields, StructField(fp_, LongType())])
+    left = docs.mapInArrow(trimmed(run), schema).join(small(gone), match, "left_anti")
+    if not again.limit(1).count():
+        return left.select(docs.columns)
+    once = left.join(small(again), match, "left_anti")
+    twice = left.join(small(again), match, "left_semi").withColumn(row_, F.row_number().over(Window.partitionBy("doc_id", fp_).orderBy("doc_id"))).where(F.col(row_) == 1)
+    return once.select(docs.columns).unionByName(twice.select(docs.columns))
 
 
 ORACLE = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-s AS (SELECT doc_id, CASE WHEN len(w) < {GRAM} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {GRAM} + 2), lambda i: array_to_string(w[i:i + {GRAM} - 1], ' ')))) END AS g FROM w WHERE len(w) > 0),
-r AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS rep FROM s),
-e AS (SELECT doc_id, len(g) AS size, unnest(g) AS x FROM r WHERE doc_id = rep),
-c AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, a.size + b.size AS total, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2, 3)
-SELECT rep AS doc_id_a, doc_id AS doc_id_b, 1.0::DOUBLE AS jaccard FROM r WHERE doc_id <> rep
-UNION ALL
-SELECT doc_id_a, doc_id_b, round(o / (total - o), 6) FROM c WHERE o * 1000 >= (total - o) * {math.ceil(THRESHOLD * 1000 - 1e-9)}
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < {GRAM} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {GRAM} + 2), lambda i: array_to_string(w[i:i + {GRAM} - 1], ' ')))) END AS g FROM w WHERE len(w) > 0),
+m AS MATERIALIZED (SELECT doc_id, dense_rank() OVER (ORDER BY g) AS fp, g FROM s),
+f AS MATERIALIZED (SELECT fp, min(doc_id) AS rep, count(*) - 1 AS copies, any_value(g) AS g FROM m GROUP BY fp),
+e AS (SELECT fp, len(g) AS size, unnest(g) AS x FROM f),
+c AS (SELECT a.fp AS a, b.fp AS b, a.size + b.size AS total, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.fp < b.fp GROUP BY 1, 2, 3),
+p AS MATERIALIZED (SELECT a, b FROM c WHERE o * 1000 >= (total - o) * {math.ceil(THRESHOLD * 1000 - 1e-9)}),
+l AS (SELECT fp, count(*) AS links FROM (SELECT a AS fp FROM p UNION ALL SELECT b FROM p) GROUP BY fp),
+u AS MATERIALIZED (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p UNION SELECT a.fp, b.fp FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.fp <> b.fp),
+r(node, far) AS (SELECT fp, fp FROM f UNION SELECT r.node, u.v FROM r JOIN u ON r.far = u.u),
+k AS (SELECT node AS fp, min(rep) AS class_id FROM r JOIN f ON f.fp = r.far GROUP BY node),
+d AS (SELECT m.doc_id, min(class_id) AS class_id, sum(copies)::BIGINT AS n_copies, sum(coalesce(links, 0))::BIGINT AS n_links FROM m JOIN f ON m.fp = f.fp JOIN k ON m.fp = k.fp LEFT JOIN l ON m.fp = l.fp GROUP BY m.doc_id)
+SELECT a.doc_id, coalesce(class_id, a.doc_id) AS class_id, coalesce(n_copies, 0) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) a LEFT JOIN d ON a.doc_id = d.doc_id
 """

@@ -184,16 +184,50 @@ def test_jaccard_join(spark, threshold, monkeypatch):
     want = {(rep[s], i) for i, s in sets.items() if rep[s] != i}
     reps = sorted(rep.items(), key=lambda x: x[1])
     want |= {(i, j) for k, (a, i) in enumerate(reps) for b, j in reps[k + 1 :] if len(a & b) * 1000 >= len(a | b) * per}
-    for light in (None, 0, 10, 10**6):  # whatever the boundary, the pairs are the same
-        if light is not None:
-            monkeypatch.setattr(ngram_join, "boundary", lambda s, light=light: light)
-        got = ngram_join.similar_documents(frame(spark, rows), threshold=threshold).collect()
-        assert {(r.doc_id_a, r.doc_id_b) for r in got} == want
+    root = {i: i for i in sets}
+    for i, j in sorted(want) * len(sets):  # until nothing changes
+        root[i] = root[j] = min(root[i], root[j])
+    links = collections.Counter(k for a, i in reps for b, j in reps if i != j and tuple(sorted((i, j))) in want for k in [a])
+    same = collections.Counter(sets.values())
+    for light, block in ((None, None), (0, 30), (10, 200), (10**6, None)):  # whatever the boundary and the size of a block, the pairs are the same
+        with monkeypatch.context() as patch:
+            if light is not None:
+                patch.setattr(ngram_join, "boundary", lambda s, light=light: light)
+            if block is not None:
+                patch.setattr(ngram_join, "BLOCK_GRAMS", block)
+            got = ngram_join.similar_documents(frame(spark, rows), threshold=threshold).collect()
+            assert {(r.doc_id_a, r.doc_id_b) for r in got} == want and len(got) == len(want)
+            got = ngram_join.classes(frame(spark, rows), threshold=threshold).collect()
+            assert sorted(map(tuple, got)) == [(i, root[i], same[s] - 1, links[s]) for i, s in sorted(sets.items())]
+
+
+def test_overlaps_and_forest():
+    rng = np.random.default_rng(1)
+    x, y = ([np.unique(rng.integers(0, 50, rng.integers(1, 30))) for _ in range(n)] for n in (7, 9))
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+    assert ngram_join.overlaps(x, y, 8).tolist() == want and ngram_join.overlaps(x, y).tolist() == want
+    linked = np.zeros((9, 9), bool)
+    for a, b in ((0, 8), (8, 3), (3, 5), (1, 2)):
+        linked[a, b] = linked[b, a] = True
+    assert ngram_join.forest(linked).tolist() == [0, 1, 1, 0, 4, 0, 6, 7, 0]
+
+
+def test_keep_one_of_each_class(spark):
+    """Nulls, repeated rows, several texts of a doc_id, clashing names."""
+    a, b, c = ("one two three four five six seven", "red green blue black white grey pink", "alpha beta gamma delta")
+    rows = [(5, a), (3, a), (3, a), (3, b), (9, b), (None, b), (None, c), (None, c), (7, ""), (7, ""), (8, None), (4, a + " eight")]
+    docs = frame(spark, rows).withColumnsRenamed({"h": "fp", "group": "KEY"})
+    got = ngram_join.keep_one(docs)
+    assert got.columns == docs.columns
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=order) == [(3, a), (3, b), (7, ""), (7, ""), (8, None), (None, c)]
+    got = {r.doc_id: tuple(r)[1:] for r in ngram_join.classes(docs).collect()}
+    assert got == {3: (3, 2, 1), 4: (3, 0, 1), 5: (3, 1, 1), 9: (3, 1, 0), 7: (7, 0, 0), 8: (8, 0, 0)}
 
 
 def test_components(spark):
-    pairs = spark.createDataFrame([(i, i + 1, 1.0) for i in range(0, 20)] + [(50, 60, 1.0)], "doc_id_a bigint, doc_id_b bigint, jaccard double")
-    assert {r.doc_id: r.root for r in ngram_join.components(pairs).collect()} == {**{i: 0 for i in range(21)}, 50: 50, 60: 50}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 20)] + [(50, 60)], "u bigint, v bigint")
+    assert {r.node: r.root for r in ngram_join.components(edges).collect()} == {**{i: 0 for i in range(21)}, 50: 50, 60: 50}
 
 
 # 5 ------------------------------------------------------------------------------------------
