@@ -6,7 +6,11 @@ as near to the corpus as that), but no smaller than the repetition limit allows.
 source's weight times the budget is then spent on passes over blocks of its documents:
 whole passes first, each in a block order of its own, then blocks of one more pass in its
 order, the last of them in part. No document is split, so a source spends at most its
-budget.
+budget: of the last block documents are shown in its order until one doesn't fit, then the
+shortest of the others, and less than the shortest one left out stays unspent.
+
+Budgets are whole tokens by largest remainder. With exponent 1 they are exact, so a budget
+of the corpus's size shows every document once; else weights are counted in parts of 10^9.
 
 Blocks are hash classes of about ``BLOCK_TOKENS`` tokens, so running sums are over a
 block's documents and over a source's blocks, never over a source's documents. Texts are
@@ -29,7 +33,7 @@ from .common import durable
 
 #: Entropy to reach, as a share of the greatest possible; passes over a source at most.
 ENTROPY, REPEATS = 0.95, 4.0
-BLOCK_TOKENS, SEED = 100_000, 17
+BLOCK_TOKENS, SEED, PARTS = 100_000, 17, 10**9
 SPACE = " \\t\\n\\f\\r"
 
 
@@ -63,6 +67,17 @@ def weights(tokens: dict[str, int], budget: int, entropy: float = ENTROPY, repea
     return a, at(a)
 
 
+def budgets(tokens: dict[str, int], budget: int, exponent: float, share: dict[str, float]) -> dict[str, int]:
+    """Whole tokens of each source, which add up to the budget; remainders go to the largest (ties: first by name)."""
+    parts = {k: tokens[k] if exponent == 1 else math.floor(p * PARTS + 0.5) for k, p in share.items()}
+    total = sum(parts.values())
+    if not total:
+        return {}
+    own = {k: budget * v // total for k, v in parts.items()}
+    rest = sorted(parts, key=lambda k: (-(budget * parts[k] % total), k))
+    return own | {k: own[k] + 1 for k in rest[: budget - sum(own.values())]}
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, source and n_tokens (runs of non-space) of the documents that have any."""
     return docs.select(
@@ -83,11 +98,8 @@ def schedule(docs: DataFrame, budget: int | None = None, entropy: float = ENTROP
     rows = durable(counted(docs))
     tokens = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("n_tokens")).collect()}
     budget = sum(tokens.values()) if budget is None else budget
-    _, share = weights(tokens, budget, entropy, repeats)
-    plan = []
-    for k, p in share.items():
-        own = math.floor(budget * p)
-        plan.append((k, max(1, -(-tokens[k] // block_tokens)), own // tokens[k], own % tokens[k]))
+    exponent, share = weights(tokens, budget, entropy, repeats)
+    plan = [(k, max(1, -(-tokens[k] // block_tokens)), own // tokens[k], own % tokens[k]) for k, own in budgets(tokens, budget, exponent, share).items()]
     # as many rows as sources
     sources = spark.createDataFrame(plan, "source string, n_blocks bigint, whole bigint, rest bigint")
     s = F.lit(seed)
@@ -102,18 +114,20 @@ def schedule(docs: DataFrame, budget: int | None = None, entropy: float = ENTROP
         .where("epoch < whole or spent < rest")
         .select("source", "block", "epoch", "block_rank", (F.col("epoch") < F.col("whole")).alias("full"), (F.col("rest") - F.col("spent")).alias("left"))
     )
-    shown = rows.select("doc_id", "source", "block", "n_tokens").join(epochs, ["source", "block"])
-    inner = Window.partitionBy("source", "block", "epoch").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        shown.withColumn("key", _hash("doc_id", "epoch", s))
-        .withColumn("upto", F.sum("n_tokens").over(inner))
-        .where("full or upto <= left")
-        .select("doc_id", "source", "epoch", "block_rank", "n_tokens")
-    )
-
-
-def oracle(documents: str = "documents", before: str = "") -> str:
-    """DuckDB SQL of ``schedule`` with its defaults over a relation; ``before``: common table expressions it needs."""
+    shown = rows.select("doc_id", "source", "block", "n_tokens").join(epochs, ["source", "block"]).withColumn("key", _hash("doc_id", "epoch", s))
+    # the last block of each source
+    block, n = Window.partitionBy("source", "block", "epoch"), F.col("n_tokens")
+    upto = F.sum(F.when(n <= F.col("left"), n).otherwise(0)).over(block.orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    part = shown.where("not full").withColumn("upto", upto).withColumn("early", (n <= F.col("left")) & (F.col("upto") <= F.col("left")))
+    spare = F.col("left") - F.coalesce(F.max(F.when(F.col("early"), F.col("upto"))).over(block), F.lit(0))
+    more = F.sum(F.when(F.col("early"), 0).otherwise(n)).over(block.orderBy("n_tokens", "key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    part = part.withColumn("spare", spare).withColumn("more", more).where("early or more <= spare")
+    columns = ["doc_id", "source", "epoch", "block_rank", "n_tokens"]
+    return shown.where("full").select(columns).unionByName(part.select(columns))
+
+
+def oracle(documents: str = "documents", before: str = "", entropy: float = ENTROPY, repeats: float = REPEATS) -> str:
+    """DuckDB SQL of ``schedule`` over a relation; ``before``: common table expressions it needs."""
     return f"""
 WITH RECURSIVE {before}
 c AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+')) AS n_tokens FROM {documents}),
@@ -123,25 +137,32 @@ h(i, lo, hi) AS (
   SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
   UNION ALL
   SELECT i + 1, CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END FROM (
-    SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT ln(sum(pow(share, (lo + hi) / 2))) - sum(pow(share, (lo + hi) / 2) * ln(pow(share, (lo + hi) / 2))) / sum(pow(share, (lo + hi) / 2)) >= {ENTROPY} * ln(max(n)) - 1e-12 FROM s) AS good FROM h WHERE i < 50)),
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT ln(sum(pow(share, (lo + hi) / 2))) - sum(pow(share, (lo + hi) / 2) * ln(pow(share, (lo + hi) / 2))) / sum(pow(share, (lo + hi) / 2)) >= {entropy} * ln(max(n)) - 1e-12 FROM s) AS good FROM h WHERE i < 50)),
 r(i, lo, hi) AS (
   SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
   UNION ALL
   SELECT i + 1, CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END FROM (
-    SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT max(budget * pow(share, 1 - (lo + hi) / 2) / tokens) / (SELECT sum(pow(share, 1 - (lo + hi) / 2)) FROM s) <= {REPEATS} FROM s) AS good FROM r WHERE i < 50)),
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT max(budget * pow(share, 1 - (lo + hi) / 2) / tokens) / (SELECT sum(pow(share, 1 - (lo + hi) / 2)) FROM s) <= {repeats} FROM s) AS good FROM r WHERE i < 50)),
 a AS (SELECT round(greatest(
-    CASE WHEN (SELECT -sum(share * ln(share)) >= {ENTROPY} * ln(max(n)) - 1e-12 FROM s) THEN 1 ELSE (SELECT lo FROM h WHERE i = 50) END,
-    CASE WHEN (SELECT max(budget / n::DOUBLE / tokens) <= {REPEATS} FROM s) THEN 0 ELSE 1 - (SELECT lo FROM r WHERE i = 50) END), 6) AS a),
-w AS (SELECT source, tokens, floor(budget * (pow(share, a) / (SELECT sum(pow(share, a.a)) FROM s, a)))::BIGINT AS own, greatest(1, -((-tokens) // {BLOCK_TOKENS})) AS n_blocks FROM s, a),
+    CASE WHEN (SELECT -sum(share * ln(share)) >= {entropy} * ln(max(n)) - 1e-12 FROM s) THEN 1 ELSE (SELECT lo FROM h WHERE i = 50) END,
+    CASE WHEN (SELECT max(budget / n::DOUBLE / tokens) <= {repeats} FROM s) THEN 0 ELSE 1 - (SELECT lo FROM r WHERE i = 50) END), 6) AS a),
+x AS (SELECT source, tokens, budget, CASE WHEN a = 1 THEN tokens ELSE floor(pow(share, a) / (SELECT sum(pow(share, a.a)) FROM s, a) * {PARTS} + 0.5)::BIGINT END::HUGEINT AS part FROM s, a),
+y AS (SELECT source, tokens, budget, budget * part // sum(part) OVER () AS low, budget * part % sum(part) OVER () AS remainder FROM x),
+w AS (SELECT source, tokens, (low + (row_number() OVER (ORDER BY remainder DESC, source) <= budget - sum(low) OVER ())::INTEGER)::BIGINT AS own FROM y),
 p AS (SELECT source, CASE WHEN tokens % {BLOCK_TOKENS} = 0 THEN greatest(1, tokens // {BLOCK_TOKENS}) ELSE tokens // {BLOCK_TOKENS} + 1 END AS n_blocks, own // tokens AS whole, own % tokens AS rest FROM w),
 d AS (SELECT doc_id, c.source, n_tokens, whole, rest, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), '{SEED}')), 1, 8))::BIGINT % n_blocks AS block FROM c JOIN p ON c.source = p.source WHERE n_tokens > 0),
 b AS (SELECT source, block, whole, rest, sum(n_tokens) AS size FROM d GROUP BY 1, 2, 3, 4),
 e AS (SELECT *, md5(concat_ws(':', source, block::VARCHAR, epoch::VARCHAR, '{SEED}')) AS key FROM (SELECT *, unnest(range(0, whole + 1)) AS epoch FROM b)),
 f AS (SELECT *, row_number() OVER o AS block_rank, sum(size) OVER o - size AS spent FROM e WINDOW o AS (PARTITION BY source, epoch ORDER BY key, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-g AS (SELECT d.doc_id, d.source, f.epoch, f.block_rank, d.n_tokens, f.epoch < f.whole AS whole_epoch, f.rest - f.spent AS remaining,
-  sum(d.n_tokens) OVER (PARTITION BY d.source, d.block, f.epoch ORDER BY md5(concat_ws(':', coalesce(d.doc_id::VARCHAR, 'null'), f.epoch::VARCHAR, '{SEED}')), d.doc_id, d.n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM d JOIN f ON d.source = f.source AND d.block = f.block WHERE f.epoch < f.whole OR f.spent < f.rest)
-SELECT doc_id, source, epoch, block_rank, n_tokens FROM g WHERE whole_epoch OR upto <= remaining
+g AS (SELECT d.doc_id, d.source, d.block, f.epoch, f.block_rank, d.n_tokens, f.epoch < f.whole AS whole_epoch, f.rest - f.spent AS remaining, md5(concat_ws(':', coalesce(d.doc_id::VARCHAR, 'null'), f.epoch::VARCHAR, '{SEED}')) AS key
+  FROM d JOIN f ON d.source = f.source AND d.block = f.block WHERE f.epoch < f.whole OR f.spent < f.rest),
+j AS (SELECT *, sum(CASE WHEN n_tokens <= remaining THEN n_tokens ELSE 0 END) OVER (PARTITION BY source, block, epoch ORDER BY key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM g WHERE NOT whole_epoch),
+k AS (SELECT *, n_tokens <= remaining AND upto <= remaining AS early FROM j),
+l AS (SELECT *, remaining - coalesce(max(CASE WHEN early THEN upto END) OVER (PARTITION BY source, block, epoch), 0) AS spare,
+  sum(CASE WHEN early THEN 0 ELSE n_tokens END) OVER (PARTITION BY source, block, epoch ORDER BY n_tokens, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS further FROM k)
+SELECT doc_id, source, epoch, block_rank, n_tokens FROM g WHERE whole_epoch
+UNION ALL
+SELECT doc_id, source, epoch, block_rank, n_tokens FROM l WHERE early OR further <= spare
 """
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, fingerprints, langid, licenses, mixing, ngram_join, pst, quality, suffix_dedup, toxicity
 from .common import table
 
-ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op3_license_scan": licenses.ORACLE, "op5_fingerprints": fingerprints.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op9_suffix_array_dedup": suffix_dedup.ORACLE}
+#: Near to even, since the tables' sources are near to even themselves: a lower entropy would leave them as they are.
+MIX_ENTROPY, MIX_REPEATS = 0.9999, 2.0
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.oracle(entropy=MIX_ENTROPY, repeats=MIX_REPEATS), "op3_license_scan": licenses.ORACLE, "op5_fingerprints": fingerprints.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op9_suffix_array_dedup": suffix_dedup.ORACLE}
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.schedule(table(spark, sf_dir, "documents"))
+    return mixing.schedule(table(spark, sf_dir, "documents"), entropy=MIX_ENTROPY, repeats=MIX_REPEATS)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

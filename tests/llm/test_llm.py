@@ -145,16 +145,40 @@ def test_schedule(spark):
     for i, t, _, s in rows:
         tokens[s] += len(t.split())
     budget = sum(tokens.values())
-    _, share = mixing.weights(tokens, budget)
-    for s in tokens:
+    exponent, share = mixing.weights(tokens, budget)
+    each = mixing.budgets(tokens, budget, exponent, share)
+    assert 0 < exponent < 1 and sum(each.values()) == budget
+    for s, most in each.items():
         own = [r for r in got if r.source == s]
-        most = math.floor(budget * share[s])
+        assert abs(most - budget * share[s]) <= 1 + budget / 1e9
         spent = sum(r.n_tokens for r in own)
-        assert most - 30 * max(1, -(-tokens[s] // 100)) <= spent <= most
+        left_out = [len(t.split()) for i, t, _, x in rows if x == s and t and not any(r.doc_id == i and r.epoch == most // tokens[s] for r in own)]
+        assert most - max(left_out) <= spent <= most
         for epoch in range(most // tokens[s]):
             assert sum(r.n_tokens for r in own if r.epoch == epoch) == tokens[s]
 
 
+def test_exponent_one_loses_nothing(spark):
+    """The budget of the corpus at its own weights shows each document once, a null source and repeated rows included."""
+    rng = random.Random(3)
+    for _ in range(500):
+        tokens = {f"s{i}": rng.randrange(1, 10**6) for i in range(rng.randrange(1, 25))}
+        total = sum(tokens.values())
+        exponent, share = mixing.weights(tokens, total, entropy=0.0)
+        assert exponent == 1 and mixing.budgets(tokens, total, exponent, share) == tokens
+    rows = [(i, "w " * rng.randrange(1, 40), "en", rng.choice(["a", "b", None])) for i in range(200)] + [(3, "x y", "en", "a")] * 2 + [(None, "z", "en", None)]
+    got = mixing.schedule(frame(spark, rows), entropy=0.0, block_tokens=50).collect()
+    assert sorted((r.doc_id or -1, r.source, r.n_tokens) for r in got) == sorted((i or -1, s or "", len(t.split())) for i, t, _, s in rows)
+
+
+def test_registered_mix_is_tempered(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        rows = mixing.counted(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+        tokens = {r[0]: r[1] for r in rows.groupBy("source").sum("n_tokens").collect()}
+        exponent, _ = mixing.weights(tokens, sum(tokens.values()), queries.MIX_ENTROPY, queries.MIX_REPEATS)
+        assert 0 < exponent < 1
+
+
 # 3 ------------------------------------------------------------------------------------------
 def test_license_diagonals(spark):
     text = "x y " + licenses.TEMPLATES["MIT"].replace("free of charge", "free of any charge") + " z"
