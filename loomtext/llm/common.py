@@ -60,6 +60,20 @@ def sample_ids(labelled: DataFrame, key: str, label: str, per_label: int) -> lis
     return sorted({r[0] for r in rows})
 
 
+def sampled(docs: DataFrame, key: str, ids: list, *columns: str) -> list:
+    """One row of the columns for each of the keys, so as many at most: of rows that share a key the one of the smallest hash."""
+    if not ids:
+        return []
+    by = Window.partitionBy(key).orderBy(F.xxhash64(*columns), *columns)
+    return docs.where(F.col(key).isin(ids)).select(key, *columns).withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n").orderBy(key).collect()
+
+
+def agreed(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """key and label, one row for each key whose rows all give it the same label; null labels don't count."""
+    own = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias(label), F.max(label).alias("_other"))
+    return own.where(F.col(label) == F.col("_other")).select(key, label)
+
+
 def release() -> None:
     """Give freed memory back to the system: a worker lives on after its task, beside the others of its executor."""
     gc.collect()

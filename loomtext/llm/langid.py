@@ -10,9 +10,10 @@ The automata are turned into one dense transition table whose entries also carry
 "phrase ends here" flag, so that a step of all documents in all languages is a handful of
 numpy operations. Whole texts are parsed; nothing is shuffled but the sample's keys.
 
-Defined results: a null text counts as empty; a text without any letter, or a table
-without labelled text, gives a null language and ``rejected``; ties go to the language
-first in alphabetical order; repeated rows are judged alike, each on its own; an empty
+Defined results: a null text counts as empty; a text of fewer than two letters, one none of
+whose letters the best language's sample has, or a table without labelled text gives a null
+language and ``rejected``; ties go to the language first in alphabetical order; of sampled
+rows that share a doc_id one is taken; repeated rows are judged alike, each on its own; an empty
 table gives an empty result; other columns are neither read nor returned.
 """
 
@@ -23,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import batch_of, large, sample_ids, trimmed
+from .common import batch_of, large, sample_ids, sampled, trimmed
 from .kernel import buffers, lowered, slices
 
-#: Bounds of the labelled sample that the automata are built from.
+#: Bounds of the labelled sample that the automata are built from: documents, and symbols of
+#: these. Texts are taken whole; one that would go beyond the bound is
+#: passed over, unless all do: then the shortest is the sample.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 60, 24_000
 #: Bits a symbol, without the last phrase, beyond which no known language fits a text.
 REJECT_BITS = 5.0
@@ -36,12 +38,9 @@ SCHEMA = "doc_id bigint, language string, bits double, margin double, rejected b
 
 
 def alphabet(texts: list[str]) -> np.ndarray:
-    """Symbol of each code point of the basic plane: 0 for all that is no letter, 1 for a letter not seen."""
-    lut = np.zeros(65536, np.int32)
-    for i in range(65536):
-        if chr(i).isalpha():
-            lut[i] = 1
-    for n, ch in enumerate(sorted({c for t in texts for c in t.lower() if c.isalpha() and ord(c) < 65536})):
+    """Symbol of each code point: 0 for all that is no letter, 1 for a letter not seen."""
+    lut = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000).astype(np.uint16)
+    for n, ch in enumerate(sorted({c for t in texts for c in t.lower() if c.isalpha()})):
         lut[ord(ch)] = n + 2
     return lut
 
@@ -53,7 +52,7 @@ def symbols(column: pa.Array, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
     code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    sym = np.where(code < 65536, lut[np.minimum(code, 65535)], 1).astype(np.int32)
+    sym = lut[code].astype(np.int32)
     keep = sym != 0
     inner = ~keep
     inner[1:] &= keep[:-1]
@@ -183,25 +182,21 @@ class Model:
             if label is not None and text:
                 texts.setdefault(label, []).append(text)
         self.lut = alphabet([t for ts in texts.values() for t in ts])
-        self.reject, self.langs, self.bits, automata = reject, [], [], []
+        self.reject, self.langs, self.bits, self.has, automata = reject, [], [], [], []
         for lang in sorted(texts):
-            # texts are taken in turn, a line at a time, so that no single one fills the bound
-            seq = symbols(pa.array([" ".join(texts[lang])]), self.lut)[0]
-            share = max(1, most // len(texts[lang]))
-            parts = [symbols(pa.array([t]), self.lut)[0] for t in texts[lang]]
-            if sum(map(len, parts)) > most:
-                spare = most - sum(min(len(p), share) for p in parts)
-                cut = []
-                for p in parts:
-                    more = min(spare, max(0, len(p) - share))
-                    spare -= more
-                    cut.append(p[: share + more])
-                parts = cut
+            parts, total = [], 0
+            for p in (symbols(pa.array([t]), self.lut)[0] for t in texts[lang]):
+                if total + len(p) <= most:
+                    parts.append(p)
+                    total += len(p)
+            if not total:  # all of them are longer
+                parts = [min((symbols(pa.array([t]), self.lut)[0] for t in texts[lang]), key=len)]
             seq = np.concatenate([np.append(p, 0) for p in parts if len(p)] or [np.zeros(0, np.int32)])
             if len(seq) > 1:
                 self.langs.append(lang)
                 self.bits.append(np.log2(len(seq)))
                 automata.append(automaton(seq.tolist()))
+                self.has.append(np.bincount(seq, minlength=int(self.lut.max()) + 1) > 0)
         self.size = int(self.lut.max()) + 1
         if automata:
             self.table, self.roots = table_of(automata, self.size)
@@ -221,15 +216,19 @@ class Model:
         margin = order[:, 1] - low if order.shape[1] > 1 else np.full(n, np.nan)
         # the phrase that the text's end cuts short says nothing, which matters in texts of a word or two
         none = (size == 0) | (((count - 1) * unit)[np.arange(n), best] > self.reject)
+        # where every symbol is a phrase, the language may have none of the letters
+        for i in np.flatnonzero((count[np.arange(n), best] >= size) & ~none):
+            own = sym[off[i] : off[i + 1]]
+            own = own[own > 0]
+            none[i] = len(own) < 2 or not self.has[best[i]][own].any()
         low, margin = np.where(size == 0, np.nan, low), np.where(size == 0, np.nan, margin)
         return [None if z else self.langs[b] for b, z in zip(best, none)], low, margin, none
 
 
 def train(docs: DataFrame, label: str = "lang", per_label: int = SAMPLE_DOCS, most: int = SAMPLE_SYMBOLS, reject: float = REJECT_BITS) -> Model:
-    """Automata from at most ``per_label`` labelled documents and ``most`` symbols of each language."""
+    """Automata from at most ``per_label`` labelled documents of each language, whole, and ``most`` symbols."""
     ids = sample_ids(docs, "doc_id", label, per_label)
-    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", label, "text").collect() if ids else []
-    return Model([(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1] or "", r[2] or ""))], most, reject)
+    return Model([(r[1], r[2]) for r in sampled(docs, "doc_id", ids, label, "text")], most, reject)
 
 
 def _judged(model, batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:

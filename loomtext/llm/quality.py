@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, sample_ids, trimmed
+from .common import agreed, large, sample_ids, sampled, trimmed
 from .kernel import buffers, lowered, slices, span_hashes, word_spans
 
 #: Bound of the labelled sample: documents of each label.
@@ -182,11 +182,12 @@ class Field:
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_DOCS) -> Field:
     """The field of at most ``per_label`` documents of each label."""
-    ids = sample_ids(labels.where("quality in (0, 1)"), "doc_id", "quality", per_label)
+    labels = agreed(labels.where("quality in (0, 1)"), "doc_id", "quality")
+    ids = sample_ids(labels, "doc_id", "quality", per_label)
     if not ids:
         return Field([], [])
-    known = {r[0]: r[1] for r in labels.where(F.col("doc_id").isin(ids) & F.col("quality").isin(0, 1)).select("doc_id", "quality").collect()}
-    rows = sorted((r[0], r[1] or "") for r in docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").collect())
+    known = {r[0]: r[1] for r in labels.where(F.col("doc_id").isin(ids)).collect()}
+    rows = [(r[0], r[1] or "") for r in sampled(docs, "doc_id", ids, "text")]
     return Field([t for _, t in rows], [known[i] for i, _ in rows])
 
 

@@ -13,7 +13,9 @@ worst so far (by log-odds at first, then by the network), a clean one its worst
 others.
 
 Defined results: a null or wordless text has no window, score 0 and is not toxic; without
-labels of both kinds all scores are null; labels without a document or value are left out;
+labels of both kinds all scores are null; labels without a document or value,
+and those of a document whose labels disagree, are left out; of sampled rows that share a
+doc_id one is taken;
 repeated rows are scored alike, each on its own; of equally bad windows the first is named;
 a score of exactly 0.5 is toxic; an empty table gives an empty result; other columns are
 not read.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, sample_ids, trimmed
+from .common import agreed, large, sample_ids, sampled, trimmed
 from .kernel import U64, buffers, lowered, mix, rows_of, slices, words
 
 #: Bound of the labelled sample: documents of each label.
@@ -291,11 +293,12 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_DOCS) -> Model:
     """The model of at most ``per_label`` documents of each label."""
-    ids = sample_ids(labels.where("toxic in (0, 1)"), "doc_id", "toxic", per_label)
+    labels = agreed(labels.where("toxic in (0, 1)"), "doc_id", "toxic")
+    ids = sample_ids(labels, "doc_id", "toxic", per_label)
     if not ids:
         return Model([], [])
-    known = {r[0]: r[1] for r in labels.where(F.col("doc_id").isin(ids) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").collect()}
-    rows = sorted((r[0], r[1] or "") for r in docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").collect())
+    known = {r[0]: r[1] for r in labels.where(F.col("doc_id").isin(ids)).collect()}
+    rows = [(r[0], r[1] or "") for r in sampled(docs, "doc_id", ids, "text")]
     return Model([t for _, t in rows], [known[i] for i, _ in rows])
 
 
