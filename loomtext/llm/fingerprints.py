@@ -202,8 +202,7 @@ ORACLE = """
 WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS p FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(p), 1, 15))::BIGINT AS digest FROM p),
 n AS (SELECT d.doc_id, count(digest) AS n_paragraphs, coalesce(bit_xor(digest), 0)::BIGINT AS fingerprint FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY 1),
-l AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY digest ORDER BY doc_id) AS prev_id FROM g),
-v AS (SELECT doc_id, prev_id, count(*) AS votes FROM l WHERE prev_id IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT a.doc_id, b.doc_id AS prev_id, count(*) AS votes FROM g a JOIN g b ON a.digest = b.digest AND b.doc_id < a.doc_id GROUP BY 1, 2),
 b AS (SELECT v.doc_id, prev_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, prev_id DESC) AS k FROM v) v JOIN n ON v.doc_id = n.doc_id WHERE k = 1 AND votes * 2 >= n_paragraphs),
 a AS (SELECT b.doc_id, count(*) AS c, string_agg(g.digest::VARCHAR, ',' ORDER BY g.digest) AS t FROM b JOIN g ON g.doc_id = b.doc_id WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.doc_id = b.prev_id AND h.digest = g.digest) GROUP BY 1),
 r AS (SELECT b.doc_id, count(*) AS c, string_agg(g.digest::VARCHAR, ',' ORDER BY g.digest) AS t FROM b JOIN g ON g.doc_id = b.prev_id WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.doc_id = b.doc_id AND h.digest = g.digest) GROUP BY 1)
