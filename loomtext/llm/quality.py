@@ -8,7 +8,8 @@ weighted by their bytes, give the document's quality: the expected share of good
 
 Defined results: a null text or one of blank lines has no lines, a null quality and is not
 good; without labels of both kinds, quality is null throughout; labels without a document
-or value are left out; repeated rows are scored alike, each on its own; a quality of
+or value, and those of a document whose labels disagree, are left out; of sampled rows that
+share a doc_id one is taken; repeated rows are scored alike, each on its own; a quality of
 exactly 0.5 is good; an empty table gives an empty result; other columns are not read.
 """
 

@@ -7,7 +7,9 @@ windows are merged into spans of words.
 Windows are brought together by their minimizer: among the word k-grams of a window the
 one of the smallest hash, a function of the window's words alone, so equal windows meet.
 Consecutive windows of one minimizer travel as one segment, and only those whose
-minimizer occurs twice travel at all. Each bucket of segments is then searched as one
+minimizer occurs twice need to: the tasks get a filter of the repeated minimizers, a bit for
+each of up to 2**``FILTER_BITS`` hash values, so that beyond some 50 million of them more
+and more single ones pass it too and are found to be no repeats in their bucket. Each bucket of segments is then searched as one
 string: a suffix array gives its Burrows-Wheeler transform, and breadth-first backward
 extension of intervals sets the common-prefix values 0, 1, 2, ... in turn. It stops at
 ``least``: what has no value by then is a repeat.
@@ -20,18 +22,20 @@ columns are not read, and ``drop_repeats`` returns them as they are.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, large, partitions, trimmed, trimmed_group
+from .common import durable, large, partitions, trimmed, trimmed_group, unused
 from .kernel import U64, _powers, buffers, grams, lowered, mix, slices, words
 from .ngram_join import _joined, _pack
 
 LEAST, ANCHOR = 50, 10
-#: Repeated minimizers up to this many are sent to the tasks; beyond, the segments are joined with them.
-BROADCAST_ANCHORS = 6_000_000
+#: The filter of repeated minimizers has at most this many bits, as a power of two (64 MB), and this many for each of them.
+FILTER_BITS, BITS_EACH = 29, 16
 #: Documents with dropped spans up to this many are broadcast to the texts; beyond, the join shuffles.
 BROADCAST_DOCS = 1_000_000
 _AT = U64((1 << 24) - 1)
@@ -131,7 +135,7 @@ def _anchors(docs: DataFrame, least: int, k: int, buckets: int) -> DataFrame:
                 h, first, _, _ = words(lowered(text.slice(a, b - a)))
                 x, count = np.unique(segments(h, first, least, k)[3], return_counts=True)
                 x = np.repeat(x, np.minimum(count, 2))
-                bucket = (x % U64(buckets)).astype(np.int64)
+                bucket = (((_spread(x) >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
                 x = x[np.argsort(bucket, kind="stable")]
                 cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
                 out = [{"bucket": i, "anchor": x[cut[i] : cut[i + 1]].tobytes()} for i in range(buckets) if cut[i] < cut[i + 1]]
@@ -146,21 +150,55 @@ def _anchors(docs: DataFrame, least: int, k: int, buckets: int) -> DataFrame:
     return docs.where("doc_id is not null").select("text").mapInArrow(trimmed(run), "bucket int, anchor binary").groupBy("bucket").applyInArrow(trimmed_group(twice), "n bigint, anchor binary")
 
 
+def _spread(anchor: np.ndarray) -> np.ndarray:
+    """Even hashes of minimizers, which are small hashes themselves."""
+    return mix(anchor + U64(0x3C6EF372FE94F82B))
+
+
+def _filter(anchors: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits, shift): a bit for each value of a hash's leading bits, set where a repeated minimizer has it.
+
+    Buckets are ranges of the hash, so each task makes its own piece of the filter and only
+    these come to the driver: together the size of the filter, whatever the number of minimizers.
+    """
+    n = anchors.agg(F.sum("n")).first()[0] or 0
+    bits = min(FILTER_BITS, max(10, math.ceil(math.log2(max(n, 1) * BITS_EACH))))
+    shift = U64(64 - bits)
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column("anchor"):
+                at = (_spread(np.frombuffer(x.as_py(), np.uint64)) >> shift).astype(np.int64)
+                if len(at):
+                    first = int(at.min()) >> 3
+                    piece = np.zeros(((int(at.max()) >> 3) - first + 1) * 8, bool)
+                    piece[at - first * 8] = True
+                    yield pa.record_batch([pa.array([first], pa.int64()), pa.array([np.packbits(piece, bitorder="little").tobytes()], pa.binary())], names=["first", "piece"])
+
+    out = np.zeros(max(1, (1 << bits) >> 3), np.uint8)
+    for first, piece in anchors.mapInArrow(trimmed(run), "first bigint, piece binary").toLocalIterator():
+        out[first : first + len(piece)] |= np.frombuffer(piece, np.uint8)
+    return out, 64 - bits
+
+
+def _passes(anchor: np.ndarray, known: tuple[np.ndarray, int]) -> np.ndarray:
+    at = (_spread(anchor) >> U64(known[1])).astype(np.int64)
+    return (known[0][at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def _segments(docs: DataFrame, repeated, least: int, k: int, buckets: int) -> DataFrame:
     """Packed segments by bucket of their minimizer. Segments equal to an earlier one of their slice travel without words."""
     kinds = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("doc", "start", "windows", "more", "word"))])
 
     def run(batches):
-        known = None if repeated is None else repeated.value
+        known = repeated.value
         for batch in batches:
             text, ids = large(batch, "text"), batch.column("doc_id").cast(pa.int64()).to_numpy()
             for a, b in slices(text):
                 h, first, _, _ = words(lowered(text.slice(a, b - a)))
                 row, start, windows, anchor = segments(h, first, least, k)
-                if known is not None:
-                    at = np.minimum(np.searchsorted(known, anchor), max(len(known) - 1, 0))
-                    hit = known[at] == anchor if len(known) else np.zeros(len(anchor), bool)
-                    row, start, windows, anchor = row[hit], start[hit], windows[hit], anchor[hit]
+                hit = _passes(anchor, known)
+                row, start, windows, anchor = row[hit], start[hit], windows[hit], anchor[hit]
                 if not len(row):
                     continue
                 size = windows + least - 1
@@ -247,12 +285,7 @@ def _found(parts: DataFrame, least: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
     buckets = max(4, partitions(docs.sparkSession))
     anchors = durable(_anchors(docs, least, k, buckets))
-    if (anchors.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ANCHORS:
-        known = np.sort(np.concatenate([np.frombuffer(r[0], np.uint64) for r in anchors.select("anchor").toLocalIterator()] or [np.zeros(0, np.uint64)]))
-        parts = _segments(docs, docs.sparkSession.sparkContext.broadcast(known), least, k, buckets)
-    else:  # every segment travels; those alone with their minimizer are found to be no repeats there
-        parts = _segments(docs, None, least, k, buckets)
-    return _found(parts, least)
+    return _found(_segments(docs, docs.sparkSession.sparkContext.broadcast(_filter(anchors)), least, k, buckets), least)
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
@@ -270,10 +303,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> Data
 
 
 def drop_repeats(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
-    """The documents without the spans to drop, ``n_chars`` (if there) set anew; one left without a word goes."""
-    name = "spans"
-    while name in docs.columns:
-        name += "_"
+    """The documents without the spans to drop, ``n_chars`` (if it is a whole number) set anew; one left without a word goes."""
+    name = unused(docs, "spans")
     cuts = durable(repeated_spans(docs, least, k).where("drop").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(name)))
     joined = docs.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_DOCS else cuts, "doc_id", "left").select(*docs.columns, name)
     schema, names = docs.schema, docs.columns
@@ -303,7 +334,7 @@ def drop_repeats(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFr
             for f, c in zip(batch.schema, batch.columns):
                 if f.name == "text":
                     c = pa.array(text, f.type)
-                elif f.name == "n_chars":
+                elif f.name == "n_chars" and pa.types.is_integer(f.type):
                     c = pa.array([len(t) if own and t is not None else n for t, own, n in zip(text, spans, c.to_pylist())], f.type)
                 if f.name != name:
                     columns.append(c)

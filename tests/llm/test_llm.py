@@ -456,9 +456,20 @@ def test_bounded_lcp():
             assert lcp[k] == (same if same < 6 else -1)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_repeats(spark, limit, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ANCHORS", limit)
+def test_filter_of_minimizers(spark):
+    rows = spark.range(200, numPartitions=3).selectExpr("concat('common passage of just as many words as it takes ', id % 20, ' ', repeat(concat('w', id, ' '), 20)) as text", "id as doc_id")
+    anchors = suffix_dedup._anchors(rows, 9, 3, 5)
+    own = np.concatenate([np.frombuffer(r[1], np.uint64) for r in anchors.collect()])
+    known = suffix_dedup._filter(anchors)
+    assert len(own) and suffix_dedup._passes(own, known).all()
+    others = np.random.default_rng(0).integers(0, 2**63, 20000, dtype=np.uint64)
+    assert suffix_dedup._passes(others, known).mean() < 0.12
+
+
+@pytest.mark.parametrize("bits", [29, 4])
+def test_repeats(spark, bits, monkeypatch):
+    """With a filter that lets few or nearly all single segments through."""
+    monkeypatch.setattr(suffix_dedup, "FILTER_BITS", bits)
     rng = random.Random(10)
     passages = [[f"p{rng.randrange(500)}" for _ in range(rng.choice([12, 20, 35]))] for _ in range(6)]
     rows = []
@@ -480,6 +491,13 @@ def test_repeats(spark, limit, monkeypatch):
     assert {(r.doc_id, x, r["drop"]) for r in got for x in range(r.start_word, r.end_word)} == want
 
 
+def test_drop_repeats_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, text, "x", "a"), (2, text + " end", "y", "b"), (None, text, None, None)], "doc_id bigint, text string, n_chars string, SPANS string")
+    got = {r.doc_id: tuple(r) for r in suffix_dedup.drop_repeats(docs).collect()}
+    assert got == {1: (1, text, "x", "a"), 2: (2, "end", "y", "b"), None: (None, text, None, None)}
+
+
 # 10 -----------------------------------------------------------------------------------------
 def test_marginals():
     rng = np.random.default_rng(4)
