@@ -189,6 +189,17 @@ def test_license_diagonals(spark):
     assert licenses.scan(frame(spark, [(1, text)]), {}).count() == 0
 
 
+def test_license_spans_are_verified(spark):
+    """Words are compared in order: replaced ones don't count, nor do grams of the template out of order."""
+    t = [f"t{i}" for i in range(30)]
+    third = [w if i < 10 or i >= 20 else "x" for i, w in enumerate(t)]  # a third of the words replaced, 20 left
+    half = t[:9] + ["x"] * 14 + t[23:]
+    turned = [w for i in range(24, -1, -6) for w in t[i : i + 6]]  # every gram of six words, in the wrong order
+    rows = [(1, " ".join(["a"] * 5 + third + ["b"] * 5)), (2, " ".join(half)), (3, " ".join(turned)), (4, " ".join(t * 3)), (5, " ".join(f"{w} y" for w in t))]
+    got = licenses.scan(frame(spark, rows), {"T": " ".join(t)}).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.matched_words) for r in got) == [(1, 5, 35, 20), (4, 0, 30, 30), (4, 30, 60, 30), (4, 60, 90, 30)]
+
+
 # 4 ------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("threshold", [0.45, 0.8])
 def test_jaccard_join(spark, threshold, monkeypatch):
