@@ -218,9 +218,17 @@ def shingles(spark, d):
     return docs(spark, d).select("doc_id", F.size(T.shingles("text")).alias("n_shingles"))
 
 
-@query(f"SELECT item_id, g AS gram, count(*) AS n FROM (SELECT item_id, unnest({s_grams('text')}) AS g FROM benchmark) GROUP BY 1, 2")
+def _s_grams(name: str, key: str) -> str:
+    return f"SELECT {key}, g AS gram, count(*) AS n FROM (SELECT {key}, unnest({s_grams('text')}) AS g FROM {name}) GROUP BY 1, 2"
+
+
+def _grams(df, key):
+    return df.select(key, F.explode(T.character_ngrams("text")).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_s_grams("documents", "doc_id"))
 def character_ngrams(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.explode(T.character_ngrams("text")).alias("gram")).groupBy("item_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return _grams(docs(spark, d), "doc_id")
 
 
 @query(f"SELECT doc_id, octet_length(encode(text)) AS file_size, length(text) AS text_length, len({s_words('text')}) AS word_count FROM documents")
@@ -294,9 +302,9 @@ def s_sentence_block(x: str) -> str:
     return f"concat_ws('_', len({s_block_words(x)}), coalesce({s_block_words(x)}[1], ''), coalesce({s_block_words(x)}[-1], ''))"
 
 
-@query(f"SELECT item_id, {s_sentence_key('text')} AS exact_key, {s_sentence_block('text')} AS block FROM benchmark")
+@query(f"SELECT doc_id, {s_sentence_key('text')} AS exact_key, {s_sentence_block('text')} AS block FROM documents")
 def sentence_keys(spark, d):
-    return table(spark, d, "benchmark").select("item_id", H.sentence_key("text").alias("exact_key"), H.sentence_block("text").alias("block"))
+    return docs(spark, d).select("doc_id", H.sentence_key("text").alias("exact_key"), H.sentence_block("text").alias("block"))
 
 
 @query("SELECT doc_id, copies FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY md5(text)) AS copies FROM documents) WHERE n = 1")
@@ -388,52 +396,65 @@ def minhash_signatures(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(H.minhash(T.shingles("text"), 16).cast("array<string>"), ",").alias("signature"))
 
 
-def _s_simhash() -> str:
+def _s_simhash(name: str, key: str) -> str:
     half = lambda i: f"('0x' || substr(md5(s), {i}, 8))::BIGINT"
     bits = " | ".join(f"(CASE WHEN sum(CASE WHEN (({half(1 if k >= 32 else 9)} >> {k % 32}) & 1) = 1 THEN 1 ELSE -1 END) > 0 THEN {(1 << k) if k < 63 else -(1 << 63)} ELSE 0 END)::HUGEINT" for k in range(63))
     high = f"(CASE WHEN sum(CASE WHEN (({half(1)} >> 31) & 1) = 1 THEN 1 ELSE -1 END) > 0 THEN 1 ELSE 0 END)"
-    return f"SELECT item_id, (({bits}) - {high}::HUGEINT * 9223372036854775808)::BIGINT AS simhash FROM (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS s FROM (SELECT item_id, {s_words('lower(text)')} AS w FROM benchmark)) GROUP BY 1"
+    some = f"SELECT {key}, (({bits}) - {high}::HUGEINT * 9223372036854775808)::BIGINT AS simhash FROM (SELECT {key}, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS s FROM (SELECT {key}, {s_words('lower(text)')} AS w FROM {name})) GROUP BY 1"
+    return f"SELECT {key}, coalesce(simhash, 0) AS simhash FROM {name} LEFT JOIN ({some}) USING ({key})"
 
 
-@query(_s_simhash())
+@query(_s_simhash("documents", "doc_id"))
 def simhash(spark, d):
-    return table(spark, d, "benchmark").select("item_id", H.simhash(T.shingles("text")).alias("simhash"))
+    return docs(spark, d).select("doc_id", H.simhash(T.shingles("text")).alias("simhash"))
 
 
-_PAIRS = "(SELECT a.item_id AS a, b.item_id AS b, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
+# The items of the benchmark are a stated set of queries (a), each compared with all documents (b)
+@query(f"SELECT a.item_id AS a, b.doc_id AS b, bit_count(xor(a.simhash, b.simhash))::INTEGER AS distance FROM ({_s_simhash('benchmark', 'item_id')}) a, ({_s_simhash('documents', 'doc_id')}) b")
+def hamming(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("a"), H.simhash(T.shingles("text")).alias("x"))
+    return simhash(spark, d).toDF("b", "y").crossJoin(items).select("a", "b", H.hamming("x", "y").alias("distance"))
 
 
-def _pairs(spark, d):
-    t = table(spark, d, "benchmark")
-    return t.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(t.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("text").alias("y")), "a")
+def _trigram_pairs(spark, d):
+    """For all items and documents: distinct trigrams (p, q), norms (u, v), common trigrams o and product s of the counts."""
 
+    def side(t, key, grams, names):
+        sizes = grams.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("r"))
+        return t.select(key).join(sizes, key, "left").fillna(0).toDF(*names)
 
-@query(f"WITH h AS ({_s_simhash()}) SELECT a.item_id AS a, b.item_id AS b, bit_count(xor(a.simhash, b.simhash))::INTEGER AS distance FROM h a JOIN h b ON a.item_id < b.item_id")
-def hamming(spark, d):
-    h = simhash(spark, d)
-    a, b = h.toDF("a", "x"), h.toDF("b", "y")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", H.hamming("x", "y").alias("distance"))
+    items = table(spark, d, "benchmark")
+    x, y = _grams(items, "item_id"), _grams(docs(spark, d), "doc_id")
+    met = y.toDF("b", "gram", "m").join(x.toDF("a", "gram", "n"), "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"), F.sum(F.col("n") * F.col("m")).alias("s"))
+    both = side(docs(spark, d), "doc_id", y, ("b", "q", "v")).crossJoin(side(items, "item_id", x, ("a", "p", "u")))
+    return both.join(met, ["a", "b"], "left").fillna(0)
 
 
-@query(f"SELECT a, b, round({s_jaccard('list_distinct(' + s_grams('x') + ')', 'list_distinct(' + s_grams('y') + ')', '0.0')}, 6) AS jaccard FROM {_PAIRS}")
-def trigram_jaccard(spark, d):
-    return _pairs(spark, d).select("a", "b", F.round(H.trigram_jaccard("x", "y"), 6).alias("jaccard"))
+_S_TRIGRAM_PAIRS = f"""WITH x AS MATERIALIZED ({_s_grams('benchmark', 'item_id')}), y AS MATERIALIZED ({_s_grams('documents', 'doc_id')}),
+m AS (SELECT item_id AS a, doc_id AS b, count(*) AS o, sum(x.n * y.n) AS s FROM x JOIN y ON x.gram = y.gram GROUP BY 1, 2),
+u AS (SELECT i.item_id AS a, count(x.n) AS p, sqrt(coalesce(sum(x.n * x.n), 0)) AS u FROM benchmark i LEFT JOIN x ON x.item_id = i.item_id GROUP BY 1),
+v AS (SELECT t.doc_id AS b, count(y.n) AS q, sqrt(coalesce(sum(y.n * y.n), 0)) AS v FROM documents t LEFT JOIN y ON y.doc_id = t.doc_id GROUP BY 1),
+z AS (SELECT u.a, v.b, p, q, u, v, coalesce(o, 0) AS o, coalesce(s, 0) AS s FROM u CROSS JOIN v LEFT JOIN m ON m.a = u.a AND m.b = v.b)"""
 
 
-@query(f"""WITH g AS (SELECT item_id, g, count(*) AS n FROM (SELECT item_id, unnest({s_grams('text')}) AS g FROM benchmark) GROUP BY 1, 2), m AS (SELECT item_id, sqrt(sum(n * n)) AS m FROM g GROUP BY 1)
-SELECT p.a, p.b, round(coalesce(s, 0) / (x.m * y.m), 6) AS cosine FROM {_PAIRS} p LEFT JOIN (SELECT a.item_id AS a, sum(a.n * b.n) AS s FROM g a JOIN g b ON b.item_id = a.item_id + 1 AND a.g = b.g GROUP BY 1) s ON s.a = p.a JOIN m x ON x.item_id = p.a JOIN m y ON y.item_id = p.b""")
-def trigram_cosine(spark, d):
-    return _pairs(spark, d).select("a", "b", F.round(H.trigram_cosine("x", "y"), 6).alias("cosine"))
+@query(f"{_S_TRIGRAM_PAIRS} SELECT a, b, CASE WHEN p + q > 0 THEN o / (p + q - o) ELSE 0.0 END AS jaccard FROM z")
+def trigram_jaccard(spark, d):
+    union = F.col("p") + F.col("q") - F.col("o")
+    return _trigram_pairs(spark, d).select("a", "b", F.when(union > 0, F.col("o") / union).otherwise(0.0).alias("jaccard"))
 
 
-_ASCII = "(SELECT a, b, regexp_replace(x, '[^\\x00-\\x7F]', '?', 'g') AS x, regexp_replace(y, '[^\\x00-\\x7F]', '?', 'g') AS y FROM " + _PAIRS + ")"
+@query(f"{_S_TRIGRAM_PAIRS} SELECT a, b, CASE WHEN u * v > 0 THEN s / (u * v) ELSE 0.0 END AS cosine FROM z")
+def trigram_cosine(spark, d):
+    norm = F.col("u") * F.col("v")
+    return _trigram_pairs(spark, d).select("a", "b", F.when(norm > 0, F.col("s") / norm).otherwise(0.0).alias("cosine"))
 
 
-@query(f"SELECT a, b, levenshtein(x, y)::INTEGER AS distance, CASE WHEN greatest(length(x), length(y)) > 0 THEN round(greatest(0, 1 - levenshtein(x, y) / greatest(length(x), length(y))), 6) ELSE 0 END AS similarity FROM {_ASCII}")
+@query()
 def edit_distance(spark, d):
-    """Over texts with ? for all that is not ASCII, since the SQL engine's function counts bytes."""
-    t = _pairs(spark, d).withColumns({c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?") for c in "xy"})
-    return t.select("a", "b", F.levenshtein("x", "y").alias("distance"), F.round(H.fuzzy_similarity("x", "y"), 6).alias("similarity"))
+    """Texts of documents are long, which makes this the most expensive of the queries: their length times that of all items."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("a"), F.col("text").alias("x"))
+    pairs = docs(spark, d).select(F.col("doc_id").alias("b"), F.col("text").alias("y")).repartition("b").crossJoin(items)
+    return pairs.select("a", "b", F.levenshtein("x", "y").alias("distance"), F.round(H.fuzzy_similarity("x", "y"), 6).alias("similarity"))
 
 
 @query()
@@ -457,65 +478,6 @@ def embed_chunks(spark, d):
     return docs(spark, d).select("doc_id", embed.encode("text").alias("embedding"))
 
 
-# Over all documents, or all pairs of an item and a document: what has SQL over the short items alone above
-def _all(name: str) -> str:
-    return ORACLES[name].replace("benchmark", "documents").replace("item_id", "doc_id")
-
-
-@query(_all("character_ngrams"))
-def character_ngrams_documents(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(T.character_ngrams("text")).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(_all("sentence_keys"))
-def sentence_keys_documents(spark, d):
-    return docs(spark, d).select("doc_id", H.sentence_key("text").alias("exact_key"), H.sentence_block("text").alias("block"))
-
-
-@query(f"SELECT doc_id, coalesce(simhash, 0) AS simhash FROM documents LEFT JOIN ({_all('simhash')}) USING (doc_id)")
-def simhash_documents(spark, d):
-    return docs(spark, d).select("doc_id", H.simhash(T.shingles("text")).alias("simhash"))
-
-
-def _item_documents(spark, d):
-    return docs(spark, d).select(F.col("doc_id").alias("b"), F.col("text").alias("y")).repartition("b").crossJoin(table(spark, d, "benchmark").select(F.col("item_id").alias("a"), F.col("text").alias("x")))
-
-
-@query()
-def hamming_documents(spark, d):
-    return simhash(spark, d).toDF("a", "x").crossJoin(simhash_documents(spark, d).toDF("b", "y")).select("a", "b", H.hamming("x", "y").alias("distance"))
-
-
-def _trigram_pairs(spark, d):
-    """For all items and documents: distinct trigrams (p, q), norms (u, v), common trigrams o and product s of the counts."""
-
-    def side(t, key, grams, names):
-        sizes = grams.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("r"))
-        return t.select(key).join(sizes, key, "left").fillna(0).toDF(*names)
-
-    x, y = character_ngrams(spark, d), character_ngrams_documents(spark, d)
-    met = x.toDF("a", "gram", "n").join(y.toDF("b", "gram", "m"), "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"), F.sum(F.col("n") * F.col("m")).alias("s"))
-    both = side(docs(spark, d), "doc_id", y, ("b", "q", "v")).crossJoin(side(table(spark, d, "benchmark"), "item_id", x, ("a", "p", "u")))
-    return both.join(met, ["a", "b"], "left").fillna(0)
-
-
-@query()
-def trigram_jaccard_documents(spark, d):
-    union = F.col("p") + F.col("q") - F.col("o")
-    return _trigram_pairs(spark, d).select("a", "b", F.round(F.when(union > 0, F.col("o") / union).otherwise(0.0), 6).alias("jaccard"))
-
-
-@query()
-def trigram_cosine_documents(spark, d):
-    norm = F.col("u") * F.col("v")
-    return _trigram_pairs(spark, d).select("a", "b", F.round(F.when(norm > 0, F.col("s") / norm).otherwise(0.0), 6).alias("cosine"))
-
-
-@query()
-def edit_distance_documents(spark, d):
-    return _item_documents(spark, d).select("a", "b", F.levenshtein("x", "y").alias("distance"), F.round(H.fuzzy_similarity("x", "y"), 6).alias("similarity"))
-
-
 # Detection and sources ------------------------------------------------------------------------
 @query("SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '([^/]*)$', 1), ''), 'downloaded_content') AS filename FROM pages")
 def url_filenames(spark, d):
@@ -734,14 +696,8 @@ def labels_kept(spark, d):
     return table(spark, d, "labels").join(kept, "doc_id", "left").groupBy("quality").agg(F.count(F.lit(1)).alias("labelled"), F.count("k").alias("kept"))
 
 
-@query("SELECT 1 AS part, doc_id AS id, text FROM documents WHERE n_chars < 300 UNION ALL SELECT 2, item_id, text FROM benchmark")
-def batch_union(spark, d):
-    a = docs(spark, d).where("n_chars < 300").select(F.lit(1).alias("part"), F.col("doc_id").alias("id"), "text")
-    return stats.merge_results(a, table(spark, d, "benchmark").select(F.lit(2).alias("part"), F.col("item_id").alias("id"), "text"))
-
-
 @query("SELECT 1 AS part, doc_id AS id, text FROM documents UNION ALL SELECT 2, item_id, text FROM benchmark")
-def batch_union_documents(spark, d):
+def batch_union(spark, d):
     part = lambda df, k, key: df.select(F.lit(k).alias("part"), F.col(key).alias("id"), "text")
     return stats.merge_results(part(docs(spark, d), 1, "doc_id"), part(table(spark, d, "benchmark"), 2, "item_id"))
 
