@@ -407,35 +407,64 @@ def test_langid_held_out(spark):
 
 # 8 ------------------------------------------------------------------------------------------
 def test_suffix_tree(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    lut = pst.classes()
-    code = {i: [0] * pst.DEPTH + [int(lut[min(ord(c), 65535)]) for c in t.lower()] for i, t in texts.items()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).unionByName(frame(spark, [(-1, "Ünï çode Жук 中文 中文"), (-2, None), (-3, "")]).select("doc_id", "text", "lang", "source", "n_chars"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    least, gain = 5, 9.0  # so that a small text has deep nodes
+    lut, levels = pst.nodes(docs.repartition(3), least, gain)
+    often = collections.Counter(c for t in texts.values() for c in t.lower())
+    own = sorted(often, key=lambda c: (-often[c], ord(c)))[: pst.OWN]
+    assert [int(lut[ord(c)]) for c in own] == list(range(1, len(own) + 1))
+    code = {i: [0] * pst.DEPTH + [int(lut[ord(c)]) for c in t.lower()] for i, t in texts.items()}
     count = collections.defaultdict(collections.Counter)
     for s in code.values():
         for i in range(pst.DEPTH, len(s)):
             for d in range(pst.DEPTH + 1):
                 count[tuple(s[i - d : i])][s[i]] += 1
+    size = {c: sum(nxt.values()) for c, nxt in count.items()}
     keep = {()}
     for c, nxt in count.items():
-        n, up = sum(nxt.values()), count[c[1:]]
-        if c and n >= pst.LEAST and sum(v / n * math.log(v / n / (up[k] / sum(up.values()))) for k, v in nxt.items()) >= pst.DIVERGENCE:
+        if c and size[c] >= least and sum(v * math.log(v / size[c] / (count[c[1:]][k] / size[c[1:]])) for k, v in nxt.items()) >= max(gain, pst.SHARE * size[()]):
             keep |= {c[j:] for j in range(len(c))}
-    levels = pst.nodes(docs.repartition(3))
-    assert {d: len(v[0]) for d, v in levels.items()} == {d: sum(len(c) == d for c in keep) for d in levels}
+    assert {d: len(np.unique(v[0] >> kernel.U64(8))) for d, v in levels.items()} == {d: sum(len(c) == d for c in keep) for d in levels}
+    assert sum(len(c) == pst.DEPTH for c in keep) > 0
 
     def p(c, x):
         up = p(c[1:], x) if c else 1 / pst.SYMBOLS
         weight = pst.PRIOR if c else 1
-        return (count[c][x] + weight * up) / (sum(count[c].values()) + weight)
+        return (count[c][x] + weight * up) / (size[c] + weight)
 
-    got = {r.doc_id: r for r in pst.score(docs, pst.Tree(levels)).collect()}
-    for i in list(texts)[:6]:
+    tree = pst.Tree(lut, levels)
+    got = {r.doc_id: r for r in pst.score(docs, tree).collect()}
+    assert got[-2].bits is None and got[-3].n_symbols == 0
+    for i in [*list(texts)[:6], -1]:
         bits = 0.0
         for k in range(pst.DEPTH, len(code[i])):
             c = next(tuple(code[i][k - d : k]) for d in range(pst.DEPTH, -1, -1) if tuple(code[i][k - d : k]) in keep)
             bits -= math.log2(p(c, code[i][k]))
         assert got[i].n_symbols == len(texts[i]) and abs(got[i].bits - bits) < 1e-4 * max(bits, 1)
+    # symbols that the corpus doesn't have are left to the root
+    n, bits = tree.score(pa.array(["ሀ" * 10, "the"]))
+    assert n.tolist() == [10, 3] and np.isfinite(bits).all() and bits[0] > bits[1]
+
+
+def test_strings_sent_in_parts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = pst.nodes(docs)[1]
+    monkeypatch.setattr(pst, "HELD", 1000)
+    assert all(np.array_equal(x, y) for d, v in pst.nodes(docs)[1].items() for x, y in zip(v, whole[d]))
+
+
+def test_suffix_tree_held_out(spark):
+    """Bits of texts not counted: deeper trees are better."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.where("doc_id % 2 = 1").toPandas().text
+    lut, levels = pst.nodes(docs.where("doc_id % 2 = 0"))
+    total = []
+    for depth in (1, 3, pst.DEPTH):
+        n, bits = pst.Tree(lut, {d: v if d <= depth else (v[0][:0], v[1][:0]) for d, v in levels.items()}).score(pa.array(held))
+        total.append(bits.sum() / n.sum())
+    assert total[0] > 1.2 * total[1] and total[1] > 1.02 * total[2]
 
 
 # 9 ------------------------------------------------------------------------------------------
