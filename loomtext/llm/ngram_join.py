@@ -52,8 +52,8 @@ GRAM, THRESHOLD = 3, 0.45
 BROADCAST_IDS = 4_000_000
 #: Blocks that are split are named to the tasks up to this many; beyond, the join shuffles.
 BROADCAST_BLOCKS = 1_000_000
-#: Grams of a block and of the partners in one of its cells: 8 MB each.
-BLOCK_GRAMS = 1 << 20
+#: Grams of a block and of the partners in one of its cells: 8 MB each. A set counts as LEAST_LOAD at least, so they are 2048 sets at most.
+BLOCK_GRAMS, LEAST_LOAD = 1 << 20, 512
 PASSED = 0.05
 _LOW32 = U64(0xFFFFFFFF)
 
@@ -246,7 +246,7 @@ def boundary(sets: DataFrame) -> int:
 
 def _placed(sets: DataFrame) -> DataFrame:
     """The sets with their block: the label, or a part of it where its sets have more than BLOCK_GRAMS grams."""
-    full = sets.groupBy("label").agg(F.sum(F.size("grams")).alias("load")).where(F.col("load") > BLOCK_GRAMS)
+    full = sets.groupBy("label").agg(F.sum(F.greatest(F.size("grams"), F.lit(LEAST_LOAD))).alias("load")).where(F.col("load") > BLOCK_GRAMS)
     full = durable(full.select("label", F.ceil(F.col("load") / BLOCK_GRAMS).alias("parts")))
     split = F.xxhash64("label", F.pmod(F.xxhash64("fp"), F.col("parts")))
     joined = sets.join(F.broadcast(full) if full.count() <= BROADCAST_BLOCKS else full, "label", "left")
@@ -266,7 +266,7 @@ def _keys(placed: DataFrame, light: int, per_mille: int) -> DataFrame:
     def run(key, table):
         ij: dict[int, tuple] = {}
         names, code = np.unique(table.column("block").to_numpy(), return_inverse=True)
-        load = np.bincount(code, [len(g) for g in table.column("grams")], len(names)).astype(np.int64) * 4 + (np.bincount(code, minlength=len(names)) > 1) * 2
+        load = np.bincount(code, [max(len(g), LEAST_LOAD) for g in table.column("grams")], len(names)).astype(np.int64) * 4 + (np.bincount(code, minlength=len(names)) > 1) * 2
         keys, own, sizes, looks = [], [], [], []
 
         def add(kind, k, block, size, look):
@@ -313,7 +313,7 @@ def _cells(placed: DataFrame, light: int, per_mille: int) -> DataFrame:
     return durable(cells.unionByName(cells.select("x", "part", F.col("x").alias("block"))).distinct())
 
 
-def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """Sizes of the intersections of all sets x with all sets y, by a product of their incidence matrices over the grams of x."""
     size = lambda s: np.fromiter(map(len, s), np.int64, len(s))
     known, code = np.unique(np.concatenate(x), return_inverse=True)
@@ -322,7 +322,7 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> n
     at = np.minimum(np.searchsorted(known, other), len(known) - 1)
     hit = known[at] == other
     at, mine = at[hit], mine[hit]
-    out = np.zeros((len(x), len(y)), np.float32)
+    out = np.zeros((len(x), len(y)), np.float32 if len(known) < 1 << 24 else np.float64)  # whole numbers either way
     for parts in ((code, row), (at, mine)):
         order = np.argsort(parts[0], kind="stable")
         for p in parts:
@@ -334,14 +334,15 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> n
             m.append(np.zeros((n, columns), np.float32))
             m[-1][r[i:j], c[i:j] - a] = 1
         out += m[0] @ m[1].T
-    return np.rint(out).astype(np.int64)
+    return out
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
     """For each row of a symmetric matrix the first row that it is linked with, directly or not."""
     label = np.arange(len(linked))
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1, initial=len(label)))
+        near = [np.where(linked[i : i + 256], label[None, :], len(label)).min(1, initial=len(label)) for i in range(0, len(label), 256)]
+        new = np.minimum(label, np.concatenate([label[:0], *near]))
         new = new[new]
         if (new == label).all():
             return label
@@ -353,14 +354,17 @@ def _verified(cells: DataFrame, placed: DataFrame, per_mille: int, pairs: bool)
     kinds = pa.schema([("fp_a", pa.int64()), ("fp_b", pa.int64()), ("n", pa.int64()), ("jaccard", pa.float64())])
 
     def compared(x, y, size_x, size_y, fp_x, fp_y, same):
-        overlap = overlaps(x, y)
-        union = size_x[:, None] + size_y[None, :] - overlap
-        linked = overlap * 1000 >= union * per_mille
+        overlap, linked = overlaps(x, y), np.empty((len(x), len(y)), bool)
+        for i in range(0, len(x), 256):  # memory for some rows at a time
+            o = overlap[i : i + 256].astype(np.int64)
+            linked[i : i + 256] = o * 1000 >= (size_x[i : i + 256, None] + size_y[None, :] - o) * per_mille
         if same:
             np.fill_diagonal(linked, False)
         if pairs:
             a, b = np.nonzero(np.triu(linked) if same else linked)
-            return [fp_x[a], fp_y[b], np.full(len(a), -1), np.round(overlap[a, b] / union[a, b], 6)]
+            o = overlap[a, b].astype(np.float64)
+            return [fp_x[a], fp_y[b], np.full(len(a), -1), np.round(o / (size_x[a] + size_y[b] - o), 6)]
+        del overlap
         if same:
             n, root, fp = linked.sum(1), forest(linked), fp_x
         else:
