@@ -49,9 +49,12 @@ def let(value: Column, body) -> Column:
 
 def to_normal_form(c: Column | str, form: str | None = "NFC") -> Column:
     """A Unicode normal form; ``None`` or "none" leaves the text as it is."""
+    text = col(c)
     if form is None or form.lower() == "none":
-        return col(c)
-    return (_nfc if form == "NFC" else normalization(form))(col(c))
+        return text
+    run = _nfc if form == "NFC" else normalization(form)
+    # ASCII is the same in all forms and needn't travel to Python
+    return F.coalesce(run(F.when(F.octet_length(text) != F.length(text), text)), text)
 
 
 def plain_characters(c: Column | str) -> Column:

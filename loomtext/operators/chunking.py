@@ -152,13 +152,18 @@ def word_chunks(c: Column | str, size: int = 512, overlap: int = 0) -> Column:
         n = F.size(words)
         last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
 
-        def piece(i):
-            begin = i * step
-            text = F.array_join(F.slice(words, begin + 1, size), " ")
-            start = F.length(F.array_join(F.slice(words, F.lit(1), begin), " ")).cast("bigint")
-            return F.struct(text.alias("text"), start.alias("start_char"), (start + F.length(text)).alias("end_char"))
+        joined = lambda i, n: F.array_join(F.slice(words, i * step + 1, n), " ")
+        # characters before each step's words, a space after each word
+        before = F.aggregate(F.sequence(F.lit(0), last), F.array(F.lit(0).cast("bigint")), lambda a, i: F.concat(a, F.array(F.element_at(a, -1) + F.length(joined(i, step)) + 1)))
 
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), piece)).otherwise(F.array().cast(PIECE))
+        def pieces(at):
+            def piece(i):
+                start = F.greatest(F.get(at, i) - 1, F.lit(0).cast("bigint"))
+                return F.struct(joined(i, size).alias("text"), start.alias("start_char"), (start + F.length(joined(i, size))).alias("end_char"))
+
+            return F.transform(F.sequence(F.lit(0), last), piece)
+
+        return F.when(n > 0, T.let(before, pieces)).otherwise(F.array().cast(PIECE))
 
     return T.let(T.tokens(c), of)
 

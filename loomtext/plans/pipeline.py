@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
@@ -13,6 +13,15 @@ from .config import Config
 from .session import durable
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows with the place, from 0 on, of their unique key in order. Only keys are sorted, by ranges."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    keys = durable(df.select(key).orderBy(key).select(key, F.spark_partition_id().alias("_p"), place.alias("_k")))
+    # as many rows as there are ranges
+    before = keys.groupBy("_p").count().withColumn("_before", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).drop("count")
+    return df.join(keys.join(before, "_p").select(key, (F.col("_before") + F.col("_k")).cast("bigint").alias(name)), key)
+
+
 class Result:
     """Lazy tables of a run."""
 
@@ -67,14 +76,10 @@ class TextPipeline:
         return self.process(spark.createDataFrame([(0, filename, "txt", text)], "doc_id bigint, filename string, file_type string, text string"))
 
     def process_files(self, spark: SparkSession, paths: list[str] | str) -> Result:
-        """Files that can't be read or extracted are in ``errors`` and don't stop the others."""
+        """Files that can't be read or extracted are in ``errors`` and don't stop the others; one named twice counts once."""
         read = durable(files.read_documents(spark, paths, self.config.processing.max_file_size_mb))
         bad = F.coalesce("error", "extract_error")
-        good = read.where(bad.isNull()).select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "file_type", "text")
-        from pyspark.sql import Window
-
-        # as many rows as files; their order is that of the paths
-        numbered = durable(good.withColumn("doc_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint")))
-        result = self.process(numbered.select("doc_id", "filename", "file_type", "text"), final=True)
+        good = read.where(bad.isNull()).select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "file_type", "text").dropDuplicates(["path"])
+        result = self.process(durable(numbered(good, "path", "doc_id")).select("doc_id", "filename", "file_type", "text"), final=True)
         result.errors = read.where(bad.isNotNull()).select("path", bad.alias("error"))
         return result

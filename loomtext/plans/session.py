@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; in a folder of our own only where that is unset."""
+    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; where that is unset, in a folder of our own on one machine, an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomtext-"))
     return df.checkpoint(eager=True)

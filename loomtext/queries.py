@@ -12,6 +12,7 @@ from .functions import hashing as H
 from .functions import text as T
 from .operators import chunking as K
 from .operators import dedup, embed, ring, stats
+from .plans.session import durable
 from .sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,12 +152,12 @@ def native_clean(spark, d):
     return docs(spark, d).select("doc_id", T.clean_native("text").alias("cleaned"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[0-9]+', '0', 'g'), 'the ', 'THE ', 'g') AS replaced FROM documents")
+_REPLACED = "regexp_replace(regexp_replace(text, '[0-9]+', '0', 'g'), 'the ', 'THE ', 'g')"
+
+
+@query(f"SELECT doc_id, {s_lines(s_space(s_punct(s_control(s_chars(_REPLACED), chr(92) + 'x7f'))), 3, 'strlen')} AS replaced FROM documents")
 def custom_replacements(spark, d):
-    c = F.col("text")
-    for a, b in (("[0-9]+", "0"), ("the ", "THE ")):
-        c = F.regexp_replace(c, a, b)
-    return docs(spark, d).select("doc_id", c.alias("replaced"))
+    return docs(spark, d).select("doc_id", T.clean_native("text", [("[0-9]+", "0"), ("the ", "THE ")]).alias("replaced"))
 
 
 _BARE = "lower(regexp_replace(w, '[!-/:-@\\[-`{-~]', '', 'g'))"
@@ -364,7 +365,7 @@ _SIM = f"CASE WHEN a.e = b.e THEN 1.0 ELSE {s_jaccard('a.w', 'b.w')} END"
 @query(f"WITH {_ROWS} SELECT a.doc_id AS lo, b.doc_id AS hi, round({_SIM}, 6) AS similarity FROM r a JOIN r b ON a.doc_id < b.doc_id AND (a.b = b.b OR a.e = b.e) WHERE {_SIM} >= 0.85")
 def chunk_conflicts(spark, d):
     rows = docs(spark, d).select(F.col("doc_id").alias("seq"), H.chunk_key("text").alias("exact"), H.chunk_block("text").alias("block"), H.word_set("text").alias("words"))
-    return dedup.conflicts(rows, "words", 0.85).withColumn("similarity", F.round("similarity", 6))
+    return dedup.conflicts(durable(rows), "words", 0.85).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH {_ROWS} SELECT doc_id FROM r b WHERE NOT EXISTS (SELECT 1 FROM r a WHERE a.doc_id < b.doc_id AND (a.b = b.b OR a.e = b.e) AND {_SIM} >= 0.85)")
@@ -391,7 +392,12 @@ def minhash_lsh(spark, d):
     return dedup.lsh_pairs(docs(spark, d).select("doc_id", T.shingles("text").alias("s")), "doc_id", "s", 0.6, bands=42, size=126)
 
 
-@query()
+_S_SHINGLES = f"SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS s FROM (SELECT doc_id, {s_words('lower(text)')} AS w FROM documents)"
+_S_SLOTS = ", ".join(f"min((h * {a} + {b}) % 4294967296)" for a, b in H.coefficients(16))
+
+
+@query(f"""SELECT doc_id, coalesce(signature, '{','.join('0' * 16)}') AS signature FROM documents
+LEFT JOIN (SELECT doc_id, concat_ws(',', {_S_SLOTS}) AS signature FROM (SELECT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h FROM ({_S_SHINGLES})) GROUP BY 1) USING (doc_id)""")
 def minhash_signatures(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(H.minhash(T.shingles("text"), 16).cast("array<string>"), ",").alias("signature"))
 
@@ -675,12 +681,24 @@ def sliding_counts(spark, d):
     return stats.sliding_count(table(spark, d, "events"), "user_id", "ts", 86400).select("event_id", "in_window")
 
 
-@query()
+_S_TURNS = "WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(f"""{_S_TURNS}, r AS (
+  SELECT event_id, user_id, n, true AS admitted, [t] AS state FROM e WHERE n = 1
+  UNION ALL
+  SELECT event_id, user_id, n, len(s) < 2, CASE WHEN len(s) < 2 THEN list_append(s, t) ELSE s END FROM (
+    SELECT e.event_id, e.user_id, e.n, e.t, list_filter(r.state, lambda x: x > e.t - 86400) AS s FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT event_id, admitted FROM r""")
 def sliding_limit(spark, d):
     return stats.sliding_limit(table(spark, d, "events"), "user_id", "ts", 2, 86400, "event_id").select("event_id", "admitted")
 
 
-@query()
+@query(f"""{_S_TURNS}, r AS (
+  SELECT event_id, user_id, n, true AS accepted, t AS at FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.event_id, e.user_id, e.n, e.t - r.at >= 43200, CASE WHEN e.t - r.at >= 43200 THEN e.t ELSE r.at END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, accepted FROM r""")
 def debounced(spark, d):
     return stats.debounce(table(spark, d, "events"), "user_id", "ts", 43200, "event_id").select("event_id", "accepted")
 

@@ -147,6 +147,29 @@ def test_pipeline(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 1
 
 
+def test_numbered(spark):
+    from loomtext.plans.pipeline import numbered
+
+    paths = [f"p{i:04d}" for i in range(500)]
+    got = numbered(spark.createDataFrame([(p,) for p in random.Random(1).sample(paths, 500)], "path string").repartition(7), "path", "doc_id").collect()
+    assert sorted((r.doc_id, r.path) for r in got) == list(enumerate(paths))
+
+
+def test_normal_form_and_offsets(spark):
+    from loomtext.functions import text as T
+    from loomtext.operators import chunking
+
+    rows = [("cafe\u0301",), ("plain",), (None,), ("",), ("caf\u00e9",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.to_normal_form("t")).collect()]
+    assert got == ["caf\u00e9", "plain", None, "", "caf\u00e9"]
+    words = [f"w{'x' * (i % 7)}" for i in range(333)]
+    for size, overlap in ((10, 3), (1, 0), (400, 5), (333, 0)):
+        pieces = spark.createDataFrame([(" ".join(words),)], "t string").select(chunking.word_chunks("t", size, overlap)).first()[0]
+        for i, p in enumerate(pieces):
+            assert p.text == " ".join(words[i * (size - overlap) :][:size])
+            assert p.start_char == len(" ".join(words[: i * (size - overlap)])) and p.end_char == p.start_char + len(p.text)
+
+
 def test_lsh(spark):
     rng = random.Random(1)
     base = [[f"w{rng.randrange(5000)}" for _ in range(80)] for _ in range(20)]
