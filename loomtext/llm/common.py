@@ -23,10 +23,13 @@ def durable(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, one machine) a folder of our own is used.
+    where that is unset (tests, one machine) a folder of our own is used. On a cluster
+    without a named folder this is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomtext-checkpoint-"))
     return df.checkpoint(eager=True)
 

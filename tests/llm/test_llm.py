@@ -127,6 +127,47 @@ def test_toxicity_held_out(spark):
     assert n.tolist() == [6, 1, 1, 0]
 
 
+def test_toxicity_by_plain_loops():
+    """Windows, inputs, both recurrent units, attention and the worst window, one word at a time."""
+    rng = random.Random(13)
+    word = lambda end: "".join(rng.choices("abcdeé", k=rng.randrange(1, 9))) + end
+    texts = [" ".join(word("xyz" if i % 2 and rng.random() < 0.3 else "") for _ in range(rng.randrange(1, 90))) for i in range(40)]
+    model = toxicity.Model(texts, [i % 2 for i in range(40)])
+    p, k = {n: v.astype(float) for n, v in model.net.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def codes(b, n, rows):
+        cut = [b[i : i + n].ljust(n) for i in range(max(len(b) - n + 1, 1))]
+        return [int(kernel.mix(np.array([int.from_bytes(c, "big")], np.uint64))[0]) % rows for c in cut]
+
+    def vector(w):
+        h, quads, tri = int(kernel.word_hash(w)), codes(w.encode(), 4, toxicity.ODDS_ROWS), codes(w.encode(), 3, toxicity.CHAR_ROWS)
+        known = [o for x, o in zip(model.known.tolist(), model.odds) if x == h] or [0]
+        return np.concatenate([[known[0], max(model.quads[q] for q in quads), min(len(quads), 20) / 10], p["word"][h % toxicity.WORD_ROWS], np.mean([p["char"][c] for c in tri], 0)])
+
+    def logit(words):
+        x, states = [vector(w) for w in words], {}
+        for d in "fb":
+            h = np.zeros(k)
+            for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+                g, s = x[t] @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+                z, r = sigmoid(g[:k] + s[:k]), sigmoid(g[k : 2 * k] + s[k : 2 * k])
+                h = z * h + (1 - z) * np.tanh(g[2 * k :] + r * s[2 * k :])
+                states[d, t] = h
+        both = [np.concatenate([states["f", t], states["b", t]]) for t in range(len(x))]
+        e = np.array([math.exp(np.tanh(s @ p["A"] + p["a"]) @ p["v"]) for s in both])
+        return float(sum(w * s for w, s in zip(e / e.sum(), both)) @ p["w"] + p["b"][0])
+
+    held = [*texts[:6], "unseen words here", "", None, *(" ".join(word("") for _ in range(n)) for n in (31, 32, 33, 48, 49, 70))]
+    n, score, at = model.judge(pa.array(held, pa.large_string()))
+    for i, t in enumerate(held):
+        w = split(t)
+        starts = [s for s in range(0, len(w), 16) if s == 0 or s + 16 < len(w)] if w else []
+        each = {s: sigmoid(logit(w[s : s + 32])) for s in starts}
+        assert n[i] == len(each)
+        assert abs(score[i] - max(each.values(), default=0)) < 1e-4 and (not each or each[at[i]] > score[i] - 1e-4)
+
+
 # 2 ------------------------------------------------------------------------------------------
 def test_weights():
     tokens = {"a": 900, "b": 60, "c": 40}
@@ -342,6 +383,54 @@ def test_latent_space(spark):
     assert np.allclose(np.abs((got[:, :3] / norm[:3] * v[:3].T).sum(0)), 1, atol=1e-2)
 
 
+def test_leaks_by_brute_force(spark):
+    """All passages against all items: dense matrix and singular vectors, textbook subsequences, the answer rule."""
+    rng = random.Random(21)
+    term, other = (lambda: f"t{rng.randrange(60)}"), (lambda: f"o{rng.randrange(500)}")
+    items = [(i, " ".join(term() for _ in range(rng.randrange(8, 30))) + ". " + " ".join(term() for _ in range(6))) for i in range(12)]
+    rows = []
+    for i in range(90):
+        w = [other() if rng.random() < 0.7 else term() for _ in range(rng.randrange(0, 90))]
+        if i % 3 == 0:
+            own = [x for x in split(rng.choice(items)[1]) if rng.random() > rng.choice([0, 0.2, 0.4])]
+            cut = rng.randrange(len(w) + 1)
+            w[cut:cut] = own
+        rows.append((i, " ".join(w)))
+    words, own = [split(t) for _, t in rows], [split(t) for _, t in items]
+    terms = sorted({x for w in own for x in w})
+    df = np.array([sum(t in w for w in map(set, words)) for t in terms])
+    idf = np.where((df > 0) & (df <= max(decontaminate.COMMON * len(rows), 1)), np.log((1 + len(rows)) / np.maximum(df, 1)), 0)
+    raw = lambda w: np.array([w.count(t) for t in terms]) * idf
+    passages = [(d, p, raw(w[p : p + 32])) for d, w in enumerate(words) for p in range(0, len(w), 16)]
+    size = [math.sqrt(sum(idf[terms.index(x)] ** 2 for x in words[d][p : p + 32] if x in terms)) for d, p, _ in passages]
+    _, s, v = np.linalg.svd(np.array([x / n for (_, _, x), n in zip(passages, size) if n]), full_matrices=False)
+    live = s > s[0] * 1e-6
+    basis = v[live].T / s[live]
+    cosine = lambda a, b: a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-12)
+
+    def common(a, b):
+        t = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, t[j + 1] = t[j + 1], last + 1 if x == y else max(t[j + 1], t[j])
+        return t[-1]
+
+    sure, perhaps = set(), set()
+    for d, p, x in passages:
+        for i, w in enumerate(own):
+            c, m = cosine(x @ basis, raw(w) @ basis), len(w)
+            region = words[d][max(0, p - m) : p + 32 + m]
+            share = common(w, region) / m if c > decontaminate.COSINE - 0.03 else 0
+            answer = {y for y in w[-6:] if idf[terms.index(y)] > 0} or set(w[-6:])
+            if share >= decontaminate.LCS or share >= decontaminate.LCS_PARAPHRASE and len(answer & set(region)) >= decontaminate.ANSWER * len(answer):
+                perhaps.add((d, i))
+                if c > decontaminate.COSINE + 0.03:
+                    sure.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, rows).repartition(3), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(sure) >= 10 and sure <= got <= perhaps
+
+
 # 1, 10: labels ------------------------------------------------------------------------------
 def test_labels_that_disagree(spark):
     """A document with different labels isn't in the sample; equal ones, and repeated rows of a text, count once."""
@@ -557,6 +646,40 @@ def test_marginals():
     assert np.allclose(total, pairs)
 
 
+def test_quality_by_plain_loops():
+    """Features of every line, all labellings, and the length-weighted sum, from the texts."""
+    rng = random.Random(17)
+    line = lambda: rng.choice(["", "  ", "Good words, said well.", "zz $$ ## | 12", "é Ünï x", "a a a a", "ABC def!", "|||", " ".join(rng.choices("pqrs", k=5))])
+    texts = [None, "", "\n \n", "one", "last line\n", *("\n".join(line() for _ in range(rng.randrange(1, 8))) for _ in range(30))]
+    field = quality.Field(texts, [i % 2 for i in range(len(texts))])
+    n, got = field.judge(pa.array(texts, pa.large_string()))
+    count = lambda b, s: sum(x in s for x in b)
+    letters = {*range(65, 91), *range(97, 123), *range(128, 256)}
+    for i, t in enumerate(texts):
+        cut = (t or "").encode().split(b"\n")
+        raw = [c + b"\n" for c in cut[:-1]] + [cut[-1]]
+        raw = [r for r in raw if any(x > 32 for x in r)]
+        bare = [r.removesuffix(b"\n") for r in raw]
+        own = []
+        for j, b in enumerate(bare):
+            solid, w, letter = sum(x > 32 for x in b), split(b.decode()), count(b, letters)
+            own.append([
+                math.log1p(solid) / 5, math.log1p(len(w)) / 3, letter / solid, count(b, range(65, 91)) / max(letter, 1), count(b, b"0123456789") / solid, count(b, b".,;:?'\"-()") / solid,
+                count(b, b"#$%&*!+=<>@^_~/\\[]{}") / solid * 4, b.count(b"|") / solid * 10, min(letter / max(len(w), 1), 20) / 10, len(set(w)) / max(len(w), 1), b[-1] in b".?!\"'",
+                j > 0 and bare[j - 1] == b, min(bare.count(b) - 1, 5) / 5,
+            ])
+        assert n[i] == len(own)
+        if not own:
+            assert np.isnan(got[i])
+            continue
+        blank = [0] * len(own[0])
+        x = np.array([[1, *own[j], *(own[j - 1] if j else blank), *(own[j + 1] if j + 1 < len(own) else blank), j == 0, j + 1 == len(own)] for j in range(len(own))], float)
+        score, pair = ((x - field.mean) / field.dev) @ field.weight[:-4], field.weight[-4:].reshape(2, 2)
+        ways = [(y, math.exp(score @ np.array(y) + sum(pair[a, b] for a, b in zip(y, y[1:])))) for y in np.ndindex(*[2] * len(own))]
+        z, size = sum(v for _, v in ways), np.array([len(r) for r in raw])
+        assert abs(sum(v * (size @ np.array(y)) for y, v in ways) / z / size.sum() - got[i]) < 1e-6, texts[i]
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     field = quality.train(docs, labels.where("doc_id % 2 = 0"))
