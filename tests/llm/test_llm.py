@@ -289,6 +289,32 @@ def test_overlaps_and_forest():
     assert ngram_join.forest(linked).tolist() == [0, 1, 1, 0, 4, 0, 6, 7, 0]
 
 
+def test_near_copies_are_settled_by_distances(monkeypatch):
+    """Links and classes of a cell are those of all pairs, while near copies of one text aren't compared in pairs."""
+    rng = np.random.default_rng(2)
+    base = [rng.integers(0, 1 << 40, 80) for _ in range(2)]
+
+    def sets(n, most, of):
+        return [np.unique(np.concatenate([b[rng.random(80) >= rng.random() * most], rng.integers(0, 1 << 40, rng.integers(1, 20))])) for b in (base[rng.integers(0, of)] for _ in range(n))]
+
+    compared, whole = [], ngram_join.overlaps
+    monkeypatch.setattr(ngram_join, "overlaps", lambda x, y, *a: compared.append(len(x) * len(y)) or whole(x, y, *a))
+    for most, of, centred in ((0.1, 1, 1), (0.8, 1, 1), (0.8, 2, 1), (0.8, 2, 1 << 40)):
+        monkeypatch.setattr(ngram_join, "CENTRED", centred)
+        x, y = sets(40, most, of), sets(30, most, of)
+        for a, b in ((x, x), (x, y)):
+            size_a, size_b = (np.array([len(s) + 3 for s in c]) for c in (a, b))  # some grams are in no other set
+            compared.clear()
+            n, first = ngram_join.links(a, b, size_a, size_b, 450, a is b)
+            assert (sum(compared) == 0) == (most == 0.1)
+            linked = np.array([[1000 * (o := len(np.intersect1d(s, t))) >= 450 * (p + q - o) for t, q in zip(b, size_b)] for s, p in zip(a, size_a)])
+            if a is b:
+                np.fill_diagonal(linked, False)
+            else:
+                linked = np.block([[np.zeros((40, 40), bool), linked], [linked.T, np.zeros((30, 30), bool)]])
+            assert n.tolist() == linked.sum(1).tolist() and first.tolist() == ngram_join.forest(linked).tolist()
+
+
 def test_keep_one_of_each_class(spark):
     """Nulls, repeated rows, several texts of a doc_id, clashing names."""
     a, b, c = ("one two three four five six seven", "red green blue black white grey pink", "alpha beta gamma delta")
