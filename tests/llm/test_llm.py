@@ -315,6 +315,21 @@ def test_near_copies_are_settled_by_distances(monkeypatch):
             assert n.tolist() == linked.sum(1).tolist() and first.tolist() == ngram_join.forest(linked).tolist()
 
 
+def test_keep_one_of_many_near_copies(spark, monkeypatch):
+    """The pipeline's stage doesn't compare the near copies of a text in pairs."""
+    rng, whole = random.Random(4), ngram_join.overlaps
+
+    def few(x, y, *a):
+        if len(x) * len(y) >= 4096:
+            raise AssertionError("near copies are compared in pairs")
+        return whole(x, y, *a)
+
+    monkeypatch.setattr(ngram_join, "overlaps", few)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(k, " ".join(w if rng.random() > 0.02 else f"v{rng.randrange(40)}" for w in words)) for k in range(1, 301)]
+    assert sorted(r.doc_id for r in ngram_join.keep_one(frame(spark, [*rows, (301, "something else in here")])).collect()) == [1, 301]
+
+
 def test_keep_one_of_each_class(spark):
     """Nulls, repeated rows, several texts of a doc_id, clashing names."""
     a, b, c = ("one two three four five six seven", "red green blue black white grey pink", "alpha beta gamma delta")
