@@ -10,9 +10,10 @@ documents, and buckets by the three symbols before the last one add the counts u
 context of three symbols or more meets all its extensions. A context that occurs ``n >= LEAST``
 times is a node of the tree if its next-symbol distribution diverges from that of the next
 shorter context by so much (Kullback-Leibler) that ``n`` times the divergence is at least
-``GAIN`` nats and ``SHARE`` of the number of symbols; so are all suffixes of a node. The tree
-grows with the corpus until ``SHARE`` counts (some 160 million symbols), and from there on it
-can't have more than ``ln 256 / SHARE`` contexts a depth, whatever the corpus.
+``GAIN`` nats; so are all suffixes of a node. Whether a context is a node depends on its own
+counts, not on the size of the corpus, so the tree grows with the corpus (README); ``SHARE`` of
+the number of symbols, where it isn't 0, is asked of the nats as well and bounds the tree at the
+cost of its rarer contexts.
 A node's distribution is smoothed towards that of its parent with the weight of
 ``PRIOR`` occurrences, the root's towards the uniform one.
 
@@ -38,7 +39,7 @@ from .common import large, partitions, trimmed, trimmed_group
 from .kernel import U64, buffers, lowered, mix, slices
 
 SYMBOLS, OWN, DEPTH = 256, 239, 7
-LEAST, GAIN, SHARE, PRIOR = 16, 32.0, 2e-7, 8.0
+LEAST, GAIN, SHARE, PRIOR = 16, 32.0, 0.0, 8.0
 #: Strings that a task holds before it sends their counts on.
 HELD = 4_000_000
 SCHEMA = "doc_id bigint, n_symbols bigint, bits double, bits_per_symbol double"
@@ -182,7 +183,7 @@ def _chosen(levels: dict[int, tuple], deepest: int, first: int, least: int, gain
 def nodes(docs: DataFrame, least: int = LEAST, gain: float = GAIN, share: float = SHARE) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """(symbol of each code point, depth -> (strings of a node and a next symbol, their counts)).
 
-    What comes to the driver is bounded by the alphabet up to depth 3 and by ``share`` beyond.
+    The nodes and their counts come to the driver.
     """
     spark = docs.sparkSession
     lut, total = alphabet(docs)
@@ -208,11 +209,21 @@ def nodes(docs: DataFrame, least: int = LEAST, gain: float = GAIN, share: float
         return pa.Table.from_pylist(out, schema=kinds)
 
     grown = counted(docs, spark.sparkContext.broadcast(lut), max(4, partitions(spark))).groupBy("bucket").applyInArrow(trimmed_group(run), "depth int, code binary, count binary").collect()
-    part = lambda d, i, t: np.concatenate([np.frombuffer(r[i], t) for r in grown if r[0] == d] or [np.zeros(0, t)])
-    out = {d: _tally(part(d, 1, np.uint64), part(d, 2, np.int64)) for d in range(2, DEPTH + 1)}
+    rows: dict[int, list] = {}
+    while grown:  # each depth's rows are let go once they are joined
+        r = grown.pop()
+        rows.setdefault(r[0], []).append(r)
+    part = lambda rows, i, t: np.concatenate([np.frombuffer(r[i], t) for r in rows] or [np.zeros(0, t)])
+    forced = part(rows.pop(-3, []), 1, np.uint64)
+    out = {}
+    for d in range(2, DEPTH + 1):
+        own = rows.pop(d, [])
+        out[d] = part(own, 1, np.uint64), part(own, 2, np.int64)
+        del own
+        out[d] = _tally(*out[d])
     for d in (1, 0):
         out[d] = _tally(out[d + 1][0] & _mask(d + 1), out[d + 1][1])
-    low = _chosen(out, 3, 1, least, enough, part(-3, 1, np.uint64))
+    low = _chosen(out, 3, 1, least, enough, forced)
     for d in (1, 2, 3):
         on = np.isin(out[d][0] >> U64(8), low[d])
         out[d] = out[d][0][on], out[d][1][on]
@@ -259,8 +270,7 @@ class Tree:
     """The tree as tables: node of each context, cost in bits of each counted next symbol, and of leaving it to the parent."""
 
     def __init__(self, lut: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]], prior: float = PRIOR):
-        self.given = lut, levels, prior
-        self._build(lut, {d: len(x) for d, (x, _) in levels.items()}, levels.__getitem__, prior)
+        self.given, self.entries = (lut, levels, prior), None  # the tables are built where texts are scored
 
     def _build(self, lut: np.ndarray, sizes: dict[int, int], level, prior: float) -> None:
         """From the counts of one depth at a time, so that no more of them is held at once."""
@@ -308,6 +318,9 @@ class Tree:
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, bits) of each row."""
+        if self.entries is None:
+            lut, levels, prior = self.given
+            self._build(lut, {d: len(x) for d, (x, _) in levels.items()}, levels.__getitem__, prior)
         sym, start = strings(column, self.lut)
         size = np.diff(start) - DEPTH
         if not size.sum():

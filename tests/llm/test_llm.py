@@ -585,6 +585,15 @@ def test_strings_sent_in_parts(spark, monkeypatch):
     assert all(np.array_equal(x, y) for d, v in pst.nodes(docs)[1].items() for x, y in zip(v, whole[d]))
 
 
+def test_nodes_whatever_the_size_of_the_corpus(spark, monkeypatch):
+    """A context of enough evidence stays a node where the rest of the corpus is large."""
+    docs, whole = spark.read.parquet(f"{SF}/documents.parquet"), pst.alphabet
+    small = pst.nodes(docs)[1]
+    monkeypatch.setattr(pst, "alphabet", lambda docs: (whole(docs)[0], 10**11))
+    large = pst.nodes(docs)[1]
+    assert len(small[pst.DEPTH][0]) > 0 and all(np.array_equal(x, y) for d, v in large.items() for x, y in zip(v, small[d]))
+
+
 def test_suffix_tree_held_out(spark):
     """Bits of texts not counted: deeper trees are better."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
