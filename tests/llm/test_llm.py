@@ -330,6 +330,22 @@ def test_keep_one_of_many_near_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in ngram_join.keep_one(frame(spark, [*rows, (301, "something else in here")])).collect()) == [1, 301]
 
 
+def test_large_group_of_near_copies_names_few_rows(spark, monkeypatch):
+    """Near copies meet in few blocks, and their number doesn't make them light."""
+    rng, found, whole = random.Random(6), [], ngram_join._cells
+
+    def cells(placed, light, per_mille):
+        found.append((placed.select("block").distinct().count(), ngram_join._keys(placed, light, per_mille).count()))
+        return whole(placed, light, per_mille)
+
+    monkeypatch.setattr(ngram_join, "_cells", cells)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(w if rng.random() > 0.06 else f"v{rng.randrange(10)}" for w in words)) for k in range(400)]
+    assert ngram_join.keep_one(frame(spark, rows)).count() < 400
+    blocks, keys = found[0]
+    assert blocks <= 20 and keys <= 5000
+
+
 def test_keep_one_of_each_class(spark):
     """Nulls, repeated rows, several texts of a doc_id, clashing names."""
     a, b, c = ("one two three four five six seven", "red green blue black white grey pink", "alpha beta gamma delta")
