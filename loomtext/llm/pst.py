@@ -17,8 +17,9 @@ cost of its rarer contexts.
 A node's distribution is smoothed towards that of its parent with the weight of
 ``PRIOR`` occurrences, the root's towards the uniform one.
 
-Every symbol of every document is scored by the longest node that ends before it. Nodes and
-the counts that they have (others are the parent's, scaled) stand in hash tables.
+Every symbol of every document is scored by the longest node that ends before it. Nodes stand
+in a hash table; a node has a bit for each symbol that it counts (others are the parent's, scaled),
+and the bits set before it are the place of the symbol's cost: 4 bytes a count, some 100 a node.
 
 Defined results: a null or empty text has no symbols and a null score; a document starts
 after ``DEPTH`` symbols of a class of its own; characters of equal frequency are ordered by
@@ -35,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, partitions, trimmed, trimmed_group
+from .common import large, partitions, release, trimmed, trimmed_group
 from .kernel import U64, buffers, lowered, mix, slices
 
 SYMBOLS, OWN, DEPTH = 256, 239, 7
+#: 64-bit numbers that hold a bit for each symbol.
+WORDS = SYMBOLS // 64
 LEAST, GAIN, SHARE, PRIOR = 16, 32.0, 0.0, 8.0
 #: Strings that a task holds before it sends their counts on.
 HELD = 4_000_000
@@ -121,6 +124,14 @@ def _numbers(planes: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(_planes(x), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int, kind) -> np.ndarray:
+    return _numbers(pa.decompress(packed, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+
+
 def _all_numbers(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([_numbers(x.as_py(), kind) for x in column] or [np.zeros(0, kind)])
 
@@ -183,12 +194,12 @@ def _chosen(levels: dict[int, tuple], deepest: int, first: int, least: int, gain
 def nodes(docs: DataFrame, least: int = LEAST, gain: float = GAIN, share: float = SHARE) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """(symbol of each code point, depth -> (strings of a node and a next symbol, their counts)).
 
-    The nodes and their counts come to the driver.
+    The nodes and their counts come to the driver, compressed.
     """
     spark = docs.sparkSession
     lut, total = alphabet(docs)
     enough = max(gain, share * total)
-    kinds = pa.schema([("depth", pa.int32()), ("code", pa.binary()), ("count", pa.binary())])
+    kinds = pa.schema([("depth", pa.int32()), ("n", pa.int64()), ("code", pa.binary()), ("count", pa.binary())])
 
     def run(key, table):
         code, count = _tally(_all_numbers(table.column("code"), np.uint64), _all_numbers(table.column("count"), np.uint32).astype(np.int64))
@@ -204,21 +215,22 @@ def nodes(docs: DataFrame, least: int = LEAST, gain: float = GAIN, share: float
         for d in (2, *own):
             x, n = levels[d]
             on = np.isin(x >> U64(8), own[d]) if d > 2 else slice(None)
-            out.append({"depth": d, "code": x[on].tobytes(), "count": n[on].tobytes()})
-        out.append({"depth": -3, "code": np.unique(forced).tobytes(), "count": b""})
+            out.append({"depth": d, "n": len(x[on]), "code": _packed(x[on]), "count": _packed(n[on])})
+        forced = np.unique(forced)
+        out.append({"depth": -3, "n": len(forced), "code": _packed(forced), "count": b""})
         return pa.Table.from_pylist(out, schema=kinds)
 
-    grown = counted(docs, spark.sparkContext.broadcast(lut), max(4, partitions(spark))).groupBy("bucket").applyInArrow(trimmed_group(run), "depth int, code binary, count binary").collect()
+    grown = counted(docs, spark.sparkContext.broadcast(lut), max(4, partitions(spark))).groupBy("bucket").applyInArrow(trimmed_group(run), "depth int, n bigint, code binary, count binary").collect()
     rows: dict[int, list] = {}
     while grown:  # each depth's rows are let go once they are joined
         r = grown.pop()
         rows.setdefault(r[0], []).append(r)
-    part = lambda rows, i, t: np.concatenate([np.frombuffer(r[i], t) for r in rows] or [np.zeros(0, t)])
-    forced = part(rows.pop(-3, []), 1, np.uint64)
+    part = lambda rows, i, t: np.concatenate([_unpacked(r[i], r[1], t) for r in rows] or [np.zeros(0, t)])
+    forced = part(rows.pop(-3, []), 2, np.uint64)
     out = {}
     for d in range(2, DEPTH + 1):
         own = rows.pop(d, [])
-        out[d] = part(own, 1, np.uint64), part(own, 2, np.int64)
+        out[d] = part(own, 2, np.uint64), part(own, 3, np.int64)
         del own
         out[d] = _tally(*out[d])
     for d in (1, 0):
@@ -267,77 +279,97 @@ class Table:
 
 
 class Tree:
-    """The tree as tables: node of each context, cost in bits of each counted next symbol, and of leaving it to the parent."""
+    """The tree as tables: node of each context, cost in bits of each counted next symbol, and of leaving it to the parent.
+
+    ``bits`` has WORDS numbers for each node, ``before`` the bits that are set before each of them.
+    """
 
     def __init__(self, lut: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]], prior: float = PRIOR):
-        self.given, self.entries = (lut, levels, prior), None  # the tables are built where texts are scored
+        self.given, self.bits = (lut, levels, prior), None  # the tables are built where texts are scored
 
-    def _build(self, lut: np.ndarray, sizes: dict[int, int], level, prior: float) -> None:
+    def _build(self, lut: np.ndarray, level, prior: float) -> None:
         """From the counts of one depth at a time, so that no more of them is held at once."""
         self.lut = lut
-        self.entries = Table(SYMBOLS + sum(v for d, v in sizes.items() if d), np.float32)
         cost = lambda p: (-np.log2(p)).astype(np.float32)
         code, n = level(0)
         root = np.zeros(SYMBOLS)
         root[code.astype(np.int64)] = n
         p = (root + 1 / SYMBOLS) / (root.sum() + 1)
-        context, node, parent, leave = [], [], [np.zeros(1, np.int32)], [np.ones(1)]
-        last = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.arange(SYMBOLS, dtype=np.uint64), p  # contexts, their nodes, entries and probabilities a depth higher
-        self.entries.add(last[2], cost(p))
+        context, parent, leave, bits, costs = [], [np.zeros(1, np.int32)], [np.ones(1)], [np.full(WORDS, ~U64(0))], [cost(p)]
+        last = np.zeros(1, np.uint64), 0, np.arange(SYMBOLS, dtype=np.uint64), p  # contexts, the first one's node, strings and probabilities a depth higher
         base = 1
         for d in range(1, DEPTH + 1):
-            code, n = level(d)
-            own, row = np.unique(code >> U64(8), return_inverse=True)
-            total = np.bincount(row, n, len(own))
-            up = last[1][np.searchsorted(last[0], own & _mask(d - 1))] if len(own) else np.zeros(0, np.int64)
-            at = np.searchsorted(last[2], (up[row].astype(np.uint64) << U64(8)) | (code & U64(255)))
-            p = (n + prior * last[3][at]) / (total[row] + prior) if len(own) else np.zeros(0)
-            ids = base + np.arange(len(own))
-            last = own, ids, (ids[row].astype(np.uint64) << U64(8)) | (code & U64(255)), p
+            code, n = level(d)  # ascending
+            own, first, size = np.unique(code >> U64(8), return_index=True, return_counts=True)
+            total = np.add.reduceat(n, first) if len(own) else np.zeros(0, np.int64)
             context.append(own | U64(d << 56))
-            node.append(ids)
-            parent.append(up.astype(np.int32))
+            parent.append((last[1] + np.searchsorted(last[0], own & _mask(d - 1))).astype(np.int32))
             leave.append(prior / (total + prior))
-            self.entries.add(last[2], cost(p))
+            p = prior * last[3][np.searchsorted(last[2], code & _mask(d))]
+            p += n
+            p /= np.repeat(total + prior, size)
+            costs.append(cost(p))
+            symbol = code & U64(255)
+            at = WORDS * np.repeat(np.arange(len(own)), size) + (symbol >> U64(6)).astype(np.int64)
+            edge = np.flatnonzero(np.diff(at, prepend=-1))
+            bits.append(np.zeros(WORDS * len(own), np.uint64))
+            if len(own):
+                bits[-1][at[edge]] = np.bitwise_or.reduceat(U64(1) << (symbol & U64(63)), edge)
+            last = own, base, code, p
             base += len(own)
+        self.short = np.zeros((SYMBOLS, SYMBOLS), np.int32)  # the longest node of two symbols at most
+        self.short[:, context[0].astype(np.uint8)] = np.arange(1, 1 + len(context[0]))
+        self.short = self.short.ravel()
+        self.short[(context[1] & _mask(2)).astype(np.int64)] = np.arange(1 + len(context[0]), 1 + len(context[0]) + len(context[1]))
         self.nodes = Table(base, np.int32)
-        self.nodes.add(np.concatenate(context), np.concatenate(node).astype(np.int32))
+        self.nodes.add(np.concatenate(context), np.arange(1, base, dtype=np.int32))
         self.parent, self.leave = np.concatenate(parent), cost(np.concatenate(leave))
+        self.bits, self.costs = np.concatenate(bits), np.concatenate(costs)
+        before = np.cumsum(np.bitwise_count(self.bits), dtype=np.int64)
+        before[1:], before[:1] = before[:-1].copy(), 0
+        self.before = before if len(self.costs) > np.iinfo(np.uint32).max else before.astype(np.uint32)
 
     def __getstate__(self) -> tuple:
         """What travels: the counts alone, compressed; each worker makes its tables of them once."""
         lut, levels, prior = self.given
-        packed = lambda x: (x.dtype.str, len(x) * x.itemsize, pa.compress(_planes(x), "zstd", asbytes=True))
+        packed = lambda x: (x.dtype.str, len(x), _packed(x))
         return packed(lut), {d: (packed(x), packed(n)) for d, (x, n) in levels.items()}, prior
 
     def __setstate__(self, state: tuple) -> None:
         lut, levels, prior = state
-        found = lambda x: _numbers(pa.decompress(x[2], x[1], "zstd", asbytes=True), x[0]) if x[1] else np.zeros(0, x[0])
+        found = lambda x: _unpacked(x[2], x[1], x[0])
         self.given = None  # a worker doesn't send the tree on
-        self._build(found(lut), {d: x[1] // np.dtype(x[0]).itemsize for d, (x, _) in levels.items()}, lambda d: tuple(map(found, levels[d])), prior)
+        self._build(found(lut), lambda d: tuple(map(found, levels[d])), prior)
+        release()
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, bits) of each row."""
-        if self.entries is None:
+        if self.bits is None:
             lut, levels, prior = self.given
-            self._build(lut, {d: len(x) for d, (x, _) in levels.items()}, levels.__getitem__, prior)
+            self._build(lut, levels.__getitem__, prior)
         sym, start = strings(column, self.lut)
         size = np.diff(start) - DEPTH
         if not size.sum():
             return size, np.zeros(len(size))
         at = _real(start)
         before = codes(sym, DEPTH)[at - DEPTH]
-        node, left = np.zeros(len(at), np.int32), np.arange(len(at))
-        for d in range(1, DEPTH + 1):  # suffixes of nodes are nodes
-            slot = self.nodes.find((before[left] & _mask(d)) | U64(d << 56))
-            on = slot >= 0
-            left = left[on]
-            node[left] = self.nodes.values[slot[on]]
-        bits, left, own = np.zeros(len(at)), np.arange(len(at)), sym[at].astype(np.uint64)
+        node = self.short[(before & _mask(2)).astype(np.int64)]
+        ranges = [(np.arange(len(at)), 2, DEPTH)]
+        while ranges:  # suffixes of nodes are nodes, so the depth of the longest one is bisected
+            left, low, high = ranges.pop()
+            if low < high and len(left):
+                d = (low + high + 1) // 2
+                slot = self.nodes.find((before[left] & _mask(d)) | U64(d << 56))
+                on = slot >= 0
+                node[left[on]] = self.nodes.values[slot[on]]
+                ranges += [(left[on], d, high), (left[~on], low, d - 1)]
+        bits, left, own = np.zeros(len(at)), np.arange(len(at)), sym[at]
+        word, bit = (own >> 6).astype(np.int64), U64(1) << (own & 63).astype(np.uint64)
         while len(left):
-            slot = self.entries.find((node[left].astype(np.uint64) << U64(8)) | own[left])
-            on = slot >= 0
-            bits[left[on]] += self.entries.values[slot[on]]
+            slot = WORDS * node[left].astype(np.int64) + word[left]
+            there, mine = self.bits[slot], bit[left]
+            on = (there & mine) != 0
+            bits[left[on]] += self.costs[self.before[slot[on]] + np.bitwise_count(there[on] & (mine[on] - U64(1)))]
             left = left[~on]
             bits[left] += self.leave[node[left]]
             node[left] = self.parent[node[left]]

@@ -610,6 +610,18 @@ def test_nodes_whatever_the_size_of_the_corpus(spark, monkeypatch):
     assert len(small[pst.DEPTH][0]) > 0 and all(np.array_equal(x, y) for d, v in large.items() for x, y in zip(v, small[d]))
 
 
+def test_tables_of_a_tree_are_small():
+    """A worker holds 4 bytes a count and some 100 a node, not a hash table of all counts."""
+    code = np.arange(1 << 20, dtype=np.uint64)  # contexts of two symbols, and shorter ones, with all symbols
+    levels = {d: (code[: 256 ** (d + 1)], np.full(256 ** (d + 1), 3)) for d in range(2)} | {d: (code[:0], code[:0].astype(np.int64)) for d in range(3, pst.DEPTH + 1)}
+    levels[2] = code, np.full(len(code), 3)
+    tree = pst.Tree(np.zeros(0x110000, np.uint8), levels)
+    n, bits = tree.score(pa.array(["ab"]))
+    assert n.tolist() == [2] and abs(bits[0] - 16) < 1e-3
+    held = [x for v in vars(tree).values() for x in (v, getattr(v, "keys", None), getattr(v, "values", None)) if isinstance(x, np.ndarray) and x is not tree.lut]
+    assert sum(x.nbytes for x in held) < 6 * sum(len(x) for x, _ in levels.values())
+
+
 def test_suffix_tree_held_out(spark):
     """Bits of texts not counted: deeper trees are better."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
