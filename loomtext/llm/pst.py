@@ -18,8 +18,9 @@ A node's distribution is smoothed towards that of its parent with the weight of
 ``PRIOR`` occurrences, the root's towards the uniform one.
 
 Every symbol of every document is scored by the longest node that ends before it. Nodes stand
-in a hash table; a node has a bit for each symbol that it counts (others are the parent's, scaled),
-and the bits set before it are the place of the symbol's cost: 4 bytes a count, some 100 a node.
+as sorted ranges of contexts, and a piece of text (``PIECE``) is looked up in their order; a node
+has a bit for each symbol that it counts (others are the parent's, scaled), and the bits set before
+it are the place of the symbol's cost: 4 bytes a count, some 80 a node.
 
 Defined results: a null or empty text has no symbols and a null score; a document starts
 after ``DEPTH`` symbols of a class of its own; characters of equal frequency are ordered by
@@ -45,6 +46,10 @@ WORDS = SYMBOLS // 64
 LEAST, GAIN, SHARE, PRIOR = 16, 32.0, 0.0, 8.0
 #: Strings that a task holds before it sends their counts on.
 HELD = 4_000_000
+#: Symbols that are scored, or strings that are sent, at once.
+PIECE = 1 << 18
+#: Buckets up to which there are four for each partition: a task's row for a bucket stays of some 4,000 strings.
+FINE = 1024
 SCHEMA = "doc_id bigint, n_symbols bigint, bits double, bits_per_symbol double"
 
 
@@ -115,6 +120,20 @@ def _tally(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     return x[edge], np.add.reduceat(n, edge) if len(x) else n
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of sorted counts, made a range of codes at a time: what is held besides is no second copy of all."""
+    n = sum(len(x) for x, _ in parts)
+    code, count, end = np.empty(n, np.uint64), np.empty(n, np.uint32), 0  # pages that aren't written aren't held
+    longest = max((x for x, _ in parts), key=len)
+    edges = np.concatenate([longest[:: 1 << 16][1:], longest[:0]])
+    cuts = [[0, *np.searchsorted(x, edges), len(x)] for x, _ in parts]
+    for k in range(len(edges) + 1):
+        x, m = _tally(*(np.concatenate([part[i][cut[k] : cut[k + 1]] for part, cut in zip(parts, cuts)]) for i in (0, 1)))
+        code[end : end + len(x)], count[end : end + len(x)] = x, m
+        end += len(x)
+    return code[:end], count[:end]
+
+
 def _planes(x: np.ndarray) -> bytes:
     """The numbers byte by byte, all highest bytes together: sorted codes and small counts compress to a fraction."""
     return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
@@ -137,32 +156,43 @@ def _all_numbers(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def counted(docs: DataFrame, lut, buckets: int) -> DataFrame:
-    """bucket, code, count, packed: strings of DEPTH + 1 symbols, a few rows for each task and bucket."""
+    """bucket, code, count, packed: strings of DEPTH + 1 symbols, a few rows for each task and bucket, sent in small batches."""
     kinds = pa.schema([("bucket", pa.int32()), ("code", pa.binary()), ("count", pa.binary())])
 
     def sent(code, count):
-        bucket = (mix((code >> U64(8)) & _mask(3)) % U64(buckets)).astype(np.int64)
+        bucket = np.empty(len(code), np.min_scalar_type(buckets - 1))
+        for a in range(0, len(code), PIECE):
+            bucket[a : a + PIECE] = mix((code[a : a + PIECE] >> U64(8)) & _mask(3)) % U64(buckets)
         order = np.argsort(bucket, kind="stable")
-        code, count, cut = code[order], count[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = [{"bucket": k, "code": _planes(code[cut[k] : cut[k + 1]]), "count": _planes(count[cut[k] : cut[k + 1]].astype(np.uint32))} for k in range(buckets) if cut[k] < cut[k + 1]]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+        out, held = [], 0
+        for k in np.flatnonzero(np.diff(cut)):
+            own = order[cut[k] : cut[k + 1]]
+            out.append({"bucket": int(k), "code": _planes(code[own]), "count": _planes(count[own])})
+            held += len(own)
+            if held > PIECE:
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                out, held = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     def run(batches):
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         whole, new = none, []
         for batch in batches:
             text = large(batch, "text")
-            for a, b in slices(text):
+            for a, b in slices(text, 1 << 20):
                 sym, start = strings(text.slice(a, b - a), lut.value)
                 if len(sym) > DEPTH:
-                    new.append(_tally(codes(sym, DEPTH + 1)[_real(start) - DEPTH]))
+                    code, count = _tally(codes(sym, DEPTH + 1)[_real(start) - DEPTH])
+                    new.append((code, count.astype(np.uint32)))
                 if sum(len(x) for x, _ in new) > max(len(whole[0]), HELD // 4):  # added up when they are as many
-                    whole, new = _tally(*(np.concatenate(x) for x in zip(whole, *new))), []
+                    whole, new = _added([whole, *new]), []
                 if len(whole[0]) > HELD:
                     yield from sent(*whole)
                     whole = none
-        yield from sent(*_tally(*(np.concatenate(x) for x in zip(whole, *new))))
+        whole, new = _added([whole, *new]), []
+        yield from sent(*whole)
 
     return docs.select("text").mapInArrow(trimmed(run), "bucket int, code binary, count binary")
 
@@ -220,7 +250,9 @@ def nodes(docs: DataFrame, least: int = LEAST, gain: float = GAIN, share: float
         out.append({"depth": -3, "n": len(forced), "code": _packed(forced), "count": b""})
         return pa.Table.from_pylist(out, schema=kinds)
 
-    grown = counted(docs, spark.sparkContext.broadcast(lut), max(4, partitions(spark))).groupBy("bucket").applyInArrow(trimmed_group(run), "depth int, n bigint, code binary, count binary").collect()
+    parts = partitions(spark)
+    buckets = max(parts, min(4 * parts, FINE))  # several a partition, so that none has far more than others
+    grown = counted(docs, spark.sparkContext.broadcast(lut), buckets).groupBy("bucket").applyInArrow(trimmed_group(run), "depth int, n bigint, code binary, count binary").collect()
     rows: dict[int, list] = {}
     while grown:  # each depth's rows are let go once they are joined
         r = grown.pop()
@@ -242,46 +274,13 @@ def nodes(docs: DataFrame, least: int = LEAST, gain: float = GAIN, share: float
     return lut, out
 
 
-class Table:
-    """A hash table for ``n`` 64-bit keys, open addressing, all keys added or looked up at once."""
-
-    EMPTY = U64(0xFFFFFFFFFFFFFFFF)
-
-    def __init__(self, n: int, kind):
-        size = 1 << max(4, int(2 * n).bit_length())
-        self.keys, self.values = np.full(size, self.EMPTY), np.zeros(size, kind)
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        at, left = self._home(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[at[left]] == self.EMPTY
-            self.keys[at[left[free]]] = keys[left[free]]  # of several the last one stays
-            left = left[self.keys[at[left]] != keys[left]]
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
-        self.values[at] = values
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(65 - len(self.keys).bit_length())).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where it isn't there."""
-        at = self._home(keys)
-        there = self.keys[at]
-        left = np.flatnonzero(there != keys)
-        while len(left):
-            none = there[left] == self.EMPTY
-            at[left[none]] = -1
-            left = left[~none]
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
-            there[left] = self.keys[at[left]]
-            left = left[there[left] != keys[left]]
-        return at
-
-
 class Tree:
     """The tree as tables: node of each context, cost in bits of each counted next symbol, and of leaving it to the parent.
 
-    ``bits`` has WORDS numbers for each node, ``before`` the bits that are set before each of them.
+    A context is read from its last symbol backwards, so that those that end with a node are a range of
+    numbers, and the ranges of deeper nodes lie within: ``node`` is the longest node from each of ``breaks``
+    to the next one. Nodes are numbered in that order. ``bits`` has WORDS numbers for each node, ``before``
+    the bits that are set before each of them.
     """
 
     def __init__(self, lut: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]], prior: float = PRIOR):
@@ -295,17 +294,16 @@ class Tree:
         root = np.zeros(SYMBOLS)
         root[code.astype(np.int64)] = n
         p = (root + 1 / SYMBOLS) / (root.sum() + 1)
-        context, parent, leave, bits, costs = [], [np.zeros(1, np.int32)], [np.ones(1)], [np.full(WORDS, ~U64(0))], [cost(p)]
-        last = np.zeros(1, np.uint64), 0, np.arange(SYMBOLS, dtype=np.uint64), p  # contexts, the first one's node, strings and probabilities a depth higher
-        base = 1
+        owns, sizes, leave, bits, costs = [np.zeros(1, np.uint64)], [np.full(1, SYMBOLS)], [np.ones(1)], [np.full(WORDS, ~U64(0))], [cost(p)]
+        last = np.arange(SYMBOLS, dtype=np.uint64), p  # strings and probabilities a depth higher
         for d in range(1, DEPTH + 1):
             code, n = level(d)  # ascending
             own, first, size = np.unique(code >> U64(8), return_index=True, return_counts=True)
             total = np.add.reduceat(n, first) if len(own) else np.zeros(0, np.int64)
-            context.append(own | U64(d << 56))
-            parent.append((last[1] + np.searchsorted(last[0], own & _mask(d - 1))).astype(np.int32))
+            owns.append(own)
+            sizes.append(size)
             leave.append(prior / (total + prior))
-            p = prior * last[3][np.searchsorted(last[2], code & _mask(d))]
+            p = prior * last[1][np.searchsorted(last[0], code & _mask(d))]
             p += n
             p /= np.repeat(total + prior, size)
             costs.append(cost(p))
@@ -315,19 +313,38 @@ class Tree:
             bits.append(np.zeros(WORDS * len(own), np.uint64))
             if len(own):
                 bits[-1][at[edge]] = np.bitwise_or.reduceat(U64(1) << (symbol & U64(63)), edge)
-            last = own, base, code, p
-            base += len(own)
-        self.short = np.zeros((SYMBOLS, SYMBOLS), np.int32)  # the longest node of two symbols at most
-        self.short[:, context[0].astype(np.uint8)] = np.arange(1, 1 + len(context[0]))
-        self.short = self.short.ravel()
-        self.short[(context[1] & _mask(2)).astype(np.int64)] = np.arange(1 + len(context[0]), 1 + len(context[0]) + len(context[1]))
-        self.nodes = Table(base, np.int32)
-        self.nodes.add(np.concatenate(context), np.arange(1, base, dtype=np.int32))
-        self.parent, self.leave = np.concatenate(parent), cost(np.concatenate(leave))
-        self.bits, self.costs = np.concatenate(bits), np.concatenate(costs)
+            last = code, p
+        del code, n, p, last, symbol, at, edge
+        low = [own.byteswap() for own in owns]  # the last symbol highest
+        order = np.argsort(np.concatenate([(x >> U64(5)) | U64(d) for d, x in enumerate(low)]))  # a node before the deeper ones of its range
+        base = np.cumsum([0, *map(len, owns)])
+        number = np.empty(base[-1], np.int32)
+        number[order] = np.arange(base[-1], dtype=np.int32)
+        own = [number[a:b] for a, b in zip(base, base[1:])]
+        size = np.concatenate(sizes)[order]
+        start = np.cumsum(size) - size
+        self.costs = np.empty(size.sum(), np.float32)
+        for d in range(DEPTH + 1):
+            inner = np.cumsum(sizes[d]) - sizes[d]
+            self.costs[np.repeat(start[own[d]] - inner, sizes[d]) + np.arange(len(costs[d]))] = costs[d]
+            costs[d] = None
+        self.bits = np.concatenate(bits).reshape(-1, WORDS)[order].ravel()
+        self.leave = cost(np.concatenate(leave)[order])
+        parent = [np.zeros(1, np.int32), *(own[d - 1][np.searchsorted(owns[d - 1], owns[d] & _mask(d - 1))] for d in range(1, DEPTH + 1))]
+        self.parent = np.concatenate(parent)[order]
         before = np.cumsum(np.bitwise_count(self.bits), dtype=np.int64)
         before[1:], before[:1] = before[:-1].copy(), 0
         self.before = before if len(self.costs) > np.iinfo(np.uint32).max else before.astype(np.uint32)
+        # a range ends where the numbers of 64 bits begin anew: that is the root's range, which begins at 0
+        self.breaks = np.unique(np.concatenate([x + (U64(1) << U64(64 - 8 * d)) if d else x for d, x in enumerate(low)] + low[1:]))
+        self.node = np.zeros(len(self.breaks), np.int32)
+        for d in range(1, DEPTH + 1):
+            if len(low[d]):
+                by = np.argsort(low[d])
+                ranges, at = low[d][by], self.breaks & ~(U64(0xFFFFFFFFFFFFFFFF) >> U64(8 * d))
+                found = np.minimum(np.searchsorted(ranges, at), len(ranges) - 1)
+                on = ranges[found] == at
+                self.node[on] = own[d][by[found[on]]]
 
     def __getstate__(self) -> tuple:
         """What travels: the counts alone, compressed; each worker makes its tables of them once."""
@@ -351,32 +368,36 @@ class Tree:
         size = np.diff(start) - DEPTH
         if not size.sum():
             return size, np.zeros(len(size))
-        at = _real(start)
-        before = codes(sym, DEPTH)[at - DEPTH]
-        node = self.short[(before & _mask(2)).astype(np.int64)]
-        ranges = [(np.arange(len(at)), 2, DEPTH)]
-        while ranges:  # suffixes of nodes are nodes, so the depth of the longest one is bisected
-            left, low, high = ranges.pop()
-            if low < high and len(left):
-                d = (low + high + 1) // 2
-                slot = self.nodes.find((before[left] & _mask(d)) | U64(d << 56))
-                on = slot >= 0
-                node[left[on]] = self.nodes.values[slot[on]]
-                ranges += [(left[on], d, high), (left[~on], low, d - 1)]
-        bits, left, own = np.zeros(len(at)), np.arange(len(at)), sym[at]
-        word, bit = (own >> 6).astype(np.int64), U64(1) << (own & 63).astype(np.uint64)
-        while len(left):
-            slot = WORDS * node[left].astype(np.int64) + word[left]
-            there, mine = self.bits[slot], bit[left]
-            on = (there & mine) != 0
-            bits[left[on]] += self.costs[self.before[slot[on]] + np.bitwise_count(there[on] & (mine[on] - U64(1)))]
-            left = left[~on]
-            bits[left] += self.leave[node[left]]
-            node[left] = self.parent[node[left]]
+        at, bits = _real(start), np.empty(size.sum())
+        for a in range(0, len(at), PIECE):
+            i = at[a : a + PIECE]
+            first = i[0] - DEPTH
+            bits[a : a + PIECE] = self._bits(codes(sym[first : i[-1] + 1], DEPTH)[i - i[0]], sym[i])
         cost = np.concatenate([[0.0], np.cumsum(bits)])
         ends = np.concatenate([[0], np.cumsum(size)])
         return size, cost[ends[1:]] - cost[ends[:-1]]
 
+    def _bits(self, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Cost of each symbol after the DEPTH symbols before it, looked up in the order of the nodes."""
+        key = before.byteswap() | own
+        order = np.argsort(key)
+        key = key[order]
+        node = self.node[np.searchsorted(self.breaks, key, "right") - 1]
+        bits, left = np.zeros(len(key)), np.arange(len(key))
+        word, bit = ((key >> U64(6)) & U64(3)).astype(np.int64), U64(1) << (key & U64(63))
+        while len(left):
+            slot = WORDS * node.astype(np.int64) + word
+            there = self.bits[slot]
+            on = (there & bit) != 0
+            bits[left[on]] += self.costs[self.before[slot[on]] + np.bitwise_count(there[on] & (bit[on] - U64(1)))]
+            off = np.flatnonzero(~on)
+            left, node, word, bit = left[off], node[off], word[off], bit[off]
+            bits[left] += self.leave[node]
+            node = self.parent[node]
+        out = np.empty(len(key))
+        out[order] = bits
+        return out
+
 
 def train(docs: DataFrame, least: int = LEAST, gain: float = GAIN, share: float = SHARE) -> Tree:
     return Tree(*nodes(docs, least, gain, share))
@@ -389,7 +410,7 @@ def score(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = large(batch, "text")
-            for a, b in slices(text, 1 << 20):
+            for a, b in slices(text, PIECE):
                 n, bits = sent.value.score(text.slice(a, b - a))
                 none = n == 0
                 each = [pa.array(x, pa.float64(), mask=none) for x in (bits, bits / np.maximum(n, 1))]

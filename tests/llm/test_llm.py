@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -622,6 +623,63 @@ def test_tables_of_a_tree_are_small():
     assert sum(x.nbytes for x in held) < 6 * sum(len(x) for x, _ in levels.values())
 
 
+def _tree_of(seen):
+    """(tree whose nodes are all contexts of the symbols, context -> counts of the next one)."""
+    count = collections.defaultdict(collections.Counter)
+    s = [0] * pst.DEPTH + list(seen)
+    for i in range(pst.DEPTH, len(s)):
+        for d in range(pst.DEPTH + 1):
+            count[tuple(s[i - d : i])][s[i]] += 1
+    levels = {}
+    for d in range(pst.DEPTH + 1):
+        own = sorted((int.from_bytes(bytes([*c, x])), n) for c, nxt in count.items() if len(c) == d for x, n in nxt.items())
+        levels[d] = np.array([x for x, _ in own], np.uint64), np.array([n for _, n in own])
+    return pst.Tree(np.arange(0x110000).astype(np.uint8), levels), count
+
+
+def test_contexts_at_the_ends_of_the_alphabet():
+    rng = np.random.default_rng(8)
+    seen, text = (rng.choice([0, 1, 254, 255], n).tolist() for n in (300, 500))
+    tree, count = _tree_of(seen)
+
+    def p(c, x):
+        weight, up = (pst.PRIOR, p(c[1:], x)) if c else (1, 1 / pst.SYMBOLS)
+        return (count[c][x] + weight * up) / (sum(count[c].values()) + weight)
+
+    s, bits = [0] * pst.DEPTH + text, 0.0
+    for i in range(pst.DEPTH, len(s)):
+        bits -= math.log2(p(next(c for d in range(pst.DEPTH, -1, -1) if (c := tuple(s[i - d : i])) in count), s[i]))
+    n, got = tree.score(pa.array(["".join(map(chr, text))]))
+    assert n.tolist() == [500] and abs(got[0] - bits) < 1e-4 * bits
+
+
+def test_memory_of_scoring_and_counting():
+    """A long text isn't scored, nor are counts added up, with many times their size in memory."""
+    rng = np.random.default_rng(9)
+    tree, _ = _tree_of(rng.integers(97, 123, 2000).tolist())
+    n = 1 << 22
+    text = pa.array([rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()])
+    tree.score(pa.array(["a"]))  # makes the tables
+
+    def peak(run, *args):
+        tracemalloc.start()
+        try:
+            return run(*args), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (size, _), most = peak(tree.score, text)
+    assert size.tolist() == [n] and most < 60 * n
+    parts = [(np.unique(rng.integers(0, 1 << 40, 1 << 20, np.uint64)), None) for _ in range(3)]
+    parts = [(x, rng.integers(1, 9, len(x)).astype(np.uint32)) for x, _ in parts]
+    together = [np.concatenate(x) for x in zip(*parts)]
+    got, most = peak(pst._added, parts)
+    assert most < 24 * len(together[0])  # 12 of them are the result
+    assert all(np.array_equal(x, y) for x, y in zip(got, pst._tally(*together)))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    assert len(pst._added([none])[0]) == len(pst._added([none, none])[1]) == 0
+
+
 def test_suffix_tree_held_out(spark):
     """Bits of texts not counted: deeper trees are better."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
