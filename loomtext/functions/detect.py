@@ -106,7 +106,7 @@ def _count(low: Column, marks: tuple[str, ...]) -> Column:
 
 def is_email(text: Column | str) -> Column:
     """Three header words anywhere, or two of from, to, subject as headers of the first block."""
-    block = F.split(col(text), "\\r?\\n\\r?\\n").getItem(0)
+    block = F.split(col(text), "\\r?\\n\\r?\\n", 2).getItem(0)
     parsed = F.lit(0)
     for h in ("from", "to", "subject"):
         parsed = parsed + block.rlike(f"(?im)^{h}:[ \\t]*\\S").cast("int")

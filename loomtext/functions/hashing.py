@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from . import grams as G
 from . import text as T
 from .text import BLOCK_STOPWORDS, col
 
@@ -151,6 +152,27 @@ def simhash(sets: Column | str) -> Column:
     return votes(half(1), 32).bitwiseOR(votes(half(9), 0))
 
 
+@F.pandas_udf(LongType())
+def _shingle_simhash(lowered: pd.Series) -> pd.Series:
+    return lowered.map(lambda x: G.simhash(G.shingle_digests(x))).astype("int64")
+
+
+def shingle_simhash(c: Column | str) -> Column:
+    """``simhash(shingles(c))`` by numpy, without the shingles as rows' arrays; 0 for null."""
+    return _shingle_simhash(F.lower(col(c)))
+
+
+def shingle_minhash(c: Column | str, n: int = 128, seed: int = 1) -> Column:
+    """``minhash(shingles(c), n, seed)`` likewise."""
+    a, b = (np.array(x, np.int64) for x in zip(*coefficients(n, seed)))
+
+    @F.pandas_udf("array<bigint>")
+    def run(lowered: pd.Series) -> pd.Series:
+        return lowered.map(lambda x: G.minhash(G.shingle_digests(x), a, b))
+
+    return run(F.lower(col(c)))
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(col(a).bitwiseXOR(col(b)))
 
@@ -161,33 +183,36 @@ def similarity_hash(sets: Column | str, method: str = "minhash") -> Column:
     return minhash(sets) if method == "minhash" else simhash(sets)
 
 
+def _fnv(s: pd.Series) -> np.ndarray:
+    """Of a series without nulls, some texts at a time."""
+    out, texts, load = [np.zeros(0, np.uint64)], [], 0
+    for x in s:
+        texts.append(x.encode())
+        load += len(texts[-1])
+        if load > 8 * G.SLICE:
+            out.append(G.fnv1a(texts))
+            texts, load = [], 0
+    return np.concatenate([*out, G.fnv1a(texts)])
+
+
+def _filled(s: pd.Series, hashes: np.ndarray) -> pd.Series:
+    out = pd.Series(pd.NA, s.index, "Int64")
+    out[s.notna()] = hashes.view(np.int64)
+    return out
+
+
 @F.pandas_udf(LongType())
 def fnv1a(s: pd.Series) -> pd.Series:
     """64-bit FNV-1a of the UTF-8 bytes, as a signed number."""
-    return s.map(lambda x: _signed(_fnv(x)), na_action="ignore").astype("Int64")
+    return _filled(s, _fnv(s.dropna()))
 
 
 @F.pandas_udf(LongType())
 def fnv1a_mixed(s: pd.Series) -> pd.Series:
     """FNV-1a, then folded, multiplied by the golden-ratio constant and folded again."""
-
-    def one(x: str) -> int:
-        h = _fnv(x)
-        h = (h ^ h >> 32) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        return _signed(h ^ h >> 32)
-
-    return s.map(one, na_action="ignore").astype("Int64")
-
-
-def _fnv(x: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in x.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+    h = _fnv(s.dropna())
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return _filled(s, h ^ h >> np.uint64(32))
 
 
 def normalized_for_hash(c: Column | str) -> Column:

@@ -1,15 +1,20 @@
 """Cleaning, sentence and paragraph splitting, shingles: Column in, Column out.
 
-Every function is built from JVM expressions, so a chain of them stays in one
-projection; the one exception is Unicode normalisation, which no built-in offers.
+Functions are built from JVM expressions, so a chain of them stays in one projection;
+the exceptions are Unicode normalisation, which no built-in offers, and the splitter of
+chunks, which folds pieces in turn.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from . import grams as G
 
 #: Tokens that the stopword step drops, compared in lower case as whole tokens.
 STOPWORDS = tuple("a all an and any are as at be been being both by can could did do does doing each few for from had has have he how in is it its just may might more most must no nor not now of on only other own same shall should so some such than that the their them there these they this those to too very was what when where which who why will with would".split())
@@ -84,7 +89,7 @@ def collapse_ascii_whitespace(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(col(c), "(?U)^\\s+|\\s+\\z", "")
+    return F.btrim(col(c), F.lit(G.SPACE))
 
 
 def drop_short_lines(c: Column | str, least: int = 10) -> Column:
@@ -195,10 +200,14 @@ ABBREVIATIONS = tuple("b.a. b.s. co. corp. dr. e.g. etc. i.e. inc. jr. ltd. m.a.
 
 
 
+_PIECES = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+
+
 def sentences(c: Column | str, least: int = 5) -> Column:
     """Sentences for deduplication: split before a capital after a full stop; the whole text if none is long enough."""
-    parts = F.filter(F.transform(F.split(col(c), _BREAK, -1), strip), lambda s: F.length(s) >= least)
-    return F.when(F.size(parts) > 0, parts).when(F.length(col(c)) > 0, F.array(col(c))).otherwise(parts)
+    text = col(c)
+    parts = F.filter(F.transform(F.split(text, _BREAK, -1), strip), lambda s: F.length(s) >= least)
+    return let(parts, lambda p: F.when(F.size(p) > 0, p).when(F.length(text) > 0, F.array(text)).otherwise(p))
 
 
 def _folded(c: Column, abbreviation, keep) -> Column:
@@ -215,12 +224,31 @@ def _folded(c: Column, abbreviation, keep) -> Column:
     return F.filter(F.transform(done, strip), keep)
 
 
+def split_for_chunks(text: str, least: int = 100, shortest: int = 5) -> list[str]:
+    """``chunk_sentences`` of one text."""
+    out, acc = [], ""
+    for piece in _PIECES.findall(text):
+        acc += piece
+        end = acc.rstrip(G.SPACE)
+        # no abbreviation has more than 8 characters
+        if not (end.endswith(".") and G.words(end[-9:])[-1].lower() in ABBREVIATIONS):
+            out.append(acc)
+            acc = ""
+    out = [s for x in (*out, acc) if (s := x.strip(G.SPACE)) and len(s) >= least] if least > 0 else [x.strip(G.SPACE) for x in ([*out, acc] if acc else out)]
+    if out:
+        return out
+    whole = text.strip(G.SPACE)
+    return [whole] if len(whole) >= shortest else []
+
+
 def chunk_sentences(c: Column | str, least: int = 100, shortest: int = 5) -> Column:
     """Sentences for chunking: shorter ones than ``least`` are dropped; if none is left, the whole text."""
-    text = col(c)
-    last = lambda t: F.lower(F.regexp_extract(t, "(?U)(\\S+)\\s*\\z", 1))
-    parts = _folded(text, lambda t: last(t).isin(*ABBREVIATIONS), lambda s: F.length(s) >= least)
-    return F.when(F.size(parts) > 0, parts).when(F.length(strip(text)) >= shortest, F.array(strip(text))).otherwise(parts)
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: split_for_chunks(x, least, shortest), na_action="ignore")
+
+    return run(col(c))
 
 
 def plain_sentences(c: Column | str, least: int = 11) -> Column:

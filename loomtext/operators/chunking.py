@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as T
-from ..functions.text import ABBREVIATIONS, RELATION_STOPWORDS, col
+from ..functions.text import ABBREVIATIONS, RELATION_STOPWORDS, col, split_for_chunks
 
 PIECE = "array<struct<text:string,start_char:bigint,end_char:bigint>>"
 _WORD = re.compile(r"\b\w+\b")
@@ -121,7 +121,7 @@ def pack_related(sentences: list[str], size: int, overlap: int, least: int = 100
 
 
 def chunks(c: Column | str, strategy: str = "sentence", size: int = 512, overlap: int = 50, least: int = 100, shortest: int = 5, fix_order: bool = False) -> Column:
-    """Array of (text, start_char, end_char). Splitting is done by column expressions, packing by one Arrow UDF."""
+    """Array of (text, start_char, end_char). Packing, and splitting into sentences, is done by one Arrow UDF."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be below the chunk size")
     if strategy in ("token", "word"):
@@ -132,7 +132,7 @@ def chunks(c: Column | str, strategy: str = "sentence", size: int = 512, overlap
     @F.pandas_udf(PIECE)
     def run(parts: pd.Series) -> pd.Series:
         def one(x):
-            x = [] if x is None else list(x)
+            x = [] if x is None else list(x) if strategy == "paragraph" else split_for_chunks(x, least, shortest)
             if strategy == "paragraph":
                 found = pack_paragraphs(x, size, overlap, least, shortest, fix_order)
             else:
@@ -141,7 +141,7 @@ def chunks(c: Column | str, strategy: str = "sentence", size: int = 512, overlap
 
         return parts.map(one)
 
-    return run(T.paragraphs(c) if strategy == "paragraph" else T.chunk_sentences(c, least, shortest))
+    return run(T.paragraphs(c) if strategy == "paragraph" else col(c))
 
 
 def word_chunks(c: Column | str, size: int = 512, overlap: int = 0) -> Column:
@@ -187,9 +187,27 @@ def explode_chunks(df: DataFrame, pieces: Column, filename: Column | str) -> Dat
     )
 
 
+def _related_words(sentence: Column) -> Column:
+    low = F.lower(sentence)
+    # among ASCII the plain classes find the same words sooner
+    found = F.when(F.octet_length(low) == F.length(low), F.regexp_extract_all(low, F.lit("\\w+"), F.lit(0))).otherwise(F.regexp_extract_all(low, F.lit("(?U)\\b\\w+\\b"), F.lit(0)))
+    return F.array_except(F.array_distinct(found), F.array(*map(F.lit, RELATION_STOPWORDS)))
+
+
 def islands(sentences: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Number of the related group of each (doc_id, idx, sentence), by comparing neighbours."""
     w = Window.partitionBy("doc_id").orderBy("idx")
-    words = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit("(?U)\\b\\w+\\b"), F.lit(0))), F.array(*map(F.lit, RELATION_STOPWORDS)))
-    df = sentences.withColumn("_words", words)
+    df = sentences.withColumn("_words", _related_words(F.col("sentence")))
     return df.withColumn("_before", F.lag("_words").over(w)).withColumn("_new", F.when(H.set_overlap("_words", "_before") > threshold, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w)).drop("_words", "_before", "_new")
+
+
+def document_islands(sentences: Column, threshold: float = 0.2) -> Column:
+    """The groups (island, first, last) of an array of one document's sentences in turn, where nothing is sorted or shuffled."""
+
+    def related(a: Column, b: Column) -> Column:
+        common = F.size(F.array_intersect(a, b))
+        return common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1)) > threshold
+
+    fresh = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | ~related(F.get(w, i), F.get(w, i - 1)))
+    spans = lambda w, at: F.transform(at, lambda first, k: F.struct((k + 1).cast("bigint").alias("island"), first.alias("first"), (F.coalesce(F.get(at, k + 1), F.size(w)) - 1).alias("last")))
+    return T.let(F.transform(sentences, _related_words), lambda w: F.when(F.size(w) > 0, T.let(fresh(w), lambda at: spans(w, at))))

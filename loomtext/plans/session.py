@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB for workers where the session has Arrow's usual 64 MB: texts are long, and a worker holds a batch several times."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m"):
+        spark.conf.set(key, "8388608b")
 
 
 def durable(df: DataFrame) -> DataFrame:
