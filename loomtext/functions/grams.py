@@ -47,9 +47,14 @@ def minhash(digests: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.min([((h[i : i + 4096, None] * a + b) & 0xFFFFFFFF).min(0) for i in range(0, len(h), 4096)], 0)
 
 
-def slices(column: pa.Array, most: int = SLICE):
+def bounds(column: pa.LargeStringArray) -> np.ndarray:
+    """Where each row starts and ends in the column's bytes."""
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+
+
+def slices(column: pa.LargeStringArray, most: int = SLICE):
     """(from, to) of the rows that have some ``most`` bytes together, one row at least."""
-    size = np.diff(column.offsets.to_numpy().astype(np.int64)) if len(column) else np.zeros(0, np.int64)
+    size = np.diff(bounds(column))
     at, ends = 0, np.cumsum(size)
     while at < len(size):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
@@ -59,7 +64,7 @@ def slices(column: pa.Array, most: int = SLICE):
 
 def characters(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all rows in turn, and where each row starts and ends among them."""
-    offsets = column.offsets.to_numpy()
+    offsets = bounds(column)
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), lead[offsets - offsets[0]]
