@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
 
@@ -81,16 +85,46 @@ def tree(spark: SparkSession, entries: DataFrame, key: str, parent: str, name: s
     ).toDF(key, "depth", "path")
 
 
+#: Rows of an operation in one task.
+STRETCH = 1 << 16
+
+
 def regressions(df: DataFrame, op: str, ts: str, value: str, *ties: str, window: int = 1000, least: int = 10, limit: float = 2.0, floor: float | None = 0.001) -> DataFrame:
     """z-score of each value against the last ``window`` ones, itself included; active from ``least`` values on.
 
     ``floor`` is the least deviation to divide by; without one, a deviation of 0 gives no score.
     """
-    w = Window.partitionBy(op).orderBy(ts, *ties).rowsBetween(-(window - 1), 0)
-    v = F.col(value)
-    std = F.stddev_samp(v).over(w)
-    z = (v - F.avg(v).over(w)) / (F.greatest(std, F.lit(floor)) if floor is not None else F.nullif(std, F.lit(0.0)))
-    return df.withColumn("samples", F.count(v).over(w)).withColumn("z", F.when(F.col("samples") >= least, z)).withColumn("regression", F.coalesce(F.col("z") > limit, F.lit(False)))
+    # the rows of an operation in turn, cut into stretches that each see the window - 1 rows before them
+    stretch = max(STRETCH, 4 * window)
+    place = F.row_number().over(Window.partitionBy(op).orderBy(ts, *ties)) - 1
+    rows = df.withColumn("_at", place).withColumn("_stretch", F.floor(F.col("_at") / stretch))
+    halo = F.col("_at") % stretch >= stretch - window + 1
+    rows = rows.withColumn("_stretch", F.explode(F.when(halo, F.array("_stretch", F.col("_stretch") + 1)).otherwise(F.array("_stretch"))))
+    schema = StructType([*df.schema.fields, StructField("samples", LongType()), StructField("z", DoubleType()), StructField("regression", BooleanType())])
+    columns = df.columns
+
+    def run(key, table):
+        table = table.sort_by("_at").combine_chunks()
+        v = table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        known = table.column(value).is_valid().to_numpy()
+        filled = np.concatenate([np.zeros(window - 1), np.where(known, v, 0.0)])
+        on = np.concatenate([np.zeros(window - 1, bool), known])
+        n, mean, std = np.zeros(len(v), np.int64), np.full(len(v), np.nan), np.full(len(v), np.nan)
+        for i in range(0, len(v), 2048):
+            x = sliding_window_view(filled[i : i + 2048 + window - 1], window)
+            have = sliding_window_view(on[i : i + 2048 + window - 1], window)
+            k = have.sum(1)
+            m = x.sum(1) / np.maximum(k, 1)
+            s = np.sqrt(((x - m[:, None]) ** 2 * have).sum(1) / np.maximum(k - 1, 1))
+            n[i : i + 2048], mean[i : i + 2048], std[i : i + 2048] = k, m, np.where(k > 1, s, np.nan)
+        least_std = np.fmax(std, floor) if floor is not None else np.where(std == 0, np.nan, std)
+        z = (v - mean) / least_std
+        bad = np.isnan(z) | ~known | (n < least)
+        own = table.column("_at").to_numpy() // stretch == key[1].as_py()
+        out = [*(table.column(c).combine_chunks() for c in columns), pa.array(n), pa.array(np.where(bad, 0.0, z), mask=bad), pa.array(~bad & (z > limit))]
+        return pa.table(out, names=[f.name for f in schema]).filter(pa.array(own))
+
+    return rows.groupBy(op, "_stretch").applyInArrow(run, schema)
 
 
 def running_mean(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
