@@ -162,3 +162,44 @@ def with_earlier(rows: DataFrame, threshold: float, cell: int | None = None) ->
         return pa.table([pa.array(np.unique(np.concatenate(out)))], schema=schema)
 
     return _groups(placed(rows, cell)).applyInArrow(run, "seq bigint").distinct()
+
+
+def overlapping(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int | None = None) -> DataFrame:
+    """a, b, similarity of the given pairs (a < b) of sets (id, codes: ascending) that reach the threshold.
+
+    Ids are dealt to parts, and each two parts make a cell: a set is sent to the cells where it
+    has a partner, so at most as often as there are parts, however many partners it has.
+    """
+    if not parts:
+        load = sets.agg(F.sum(F.greatest(F.size("codes"), F.lit(LEAST)))).first()[0]
+        parts = max(1, -(-(load or 0) // CELL))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    cell = F.least(part("a"), part("b")) * F.lit(parts).cast("bigint") + F.greatest(part("a"), part("b"))
+    placed = pairs.withColumn("cell", cell)
+    need = placed.select(F.col("cell").alias("into"), F.col("a").alias("id")).union(placed.select("cell", "b")).distinct()
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def run(key, some, table):
+        table = table.sort_by("id").combine_chunks()
+        ids, codes = table.column("id").to_numpy(), table.column("codes").combine_chunks()
+        codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+        flat, at = codes.values.to_numpy(), codes.offsets.to_numpy()
+        known, rank = np.unique(flat[at[0] : at[-1]], return_inverse=True)
+        of = np.split(rank, at[1:-1] - at[0])
+        size, mark = np.diff(at), np.zeros(len(known), bool)
+        some = some.sort_by("a")
+        a, b = (np.searchsorted(ids, some.column(c).to_numpy()) for c in "ab")
+        similarity = np.zeros(len(a))
+        edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+        for i, j in zip(edge, np.append(edge[1:], len(a))):
+            mark[of[a[i]]] = True
+            for k in range(i, j, 1024):
+                near = b[k : min(j, k + 1024)]
+                ends = np.cumsum(size[near])
+                sums = np.concatenate([[0], np.cumsum(mark[np.concatenate([of[x] for x in near])])])
+                o = sums[ends] - sums[ends - size[near]]
+                similarity[k : k + len(near)] = o / (size[a[i]] + size[near] - o)
+            mark[of[a[i]]] = False
+        return pa.table([pa.array(ids[a]), pa.array(ids[b]), pa.array(similarity)], schema=schema).filter(pa.array(similarity >= threshold))
+
+    return placed.groupBy("cell").cogroup(need.join(sets, "id").groupBy("into")).applyInArrow(run, "a bigint, b bigint, similarity double")
